@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import perspectives, sharding
+from gridloom.llm import bpe, media, perspectives, quality, sharding, tiling, toxicity
 from gridloom.llm.common import table
 
 
@@ -12,9 +13,32 @@ def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_toxic_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern)
+
+
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.feistel_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_perspectives, op10_feistel_shards)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_perspectives, op2_quality_discriminant, op3_toxic_instances, op4_string_tiling, op6_media_jpeg, op7_byte_bpe, op10_feistel_shards)
+}
 ORACLES = {"op1_perspectives": perspectives.ORACLE_SQL}
