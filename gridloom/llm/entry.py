@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, forest, media, perspectives, quality, sharding, tiling, toxicity
+from gridloom.llm import bpe, forest, media, perspectives, quality, sharding, surrogates, tiling, toxicity
 from gridloom.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None, pat
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern)
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.surrogates(docs, count_col="n_entities")
+
+
 def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,6 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_perspectives, op2_quality_discriminant, op3_toxic_instances, op4_string_tiling, op6_media_jpeg, op7_byte_bpe, op9_lsh_forest, op10_feistel_shards)
+    for f in (op1_perspectives, op2_quality_discriminant, op3_toxic_instances, op4_string_tiling, op6_media_jpeg, op7_byte_bpe, op8_surrogates, op9_lsh_forest, op10_feistel_shards)
 }
 ORACLES = {"op1_perspectives": perspectives.ORACLE_SQL}
