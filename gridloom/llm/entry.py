@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, forest, media, perspectives, quality, sharding, surrogates, tiling, toxicity
+from gridloom.llm import bpe, forest, media, perspectives, quality, sharding, suffixes, surrogates, tiling, toxicity
 from gridloom.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_perspectives, op2_quality_discriminant, op3_toxic_instances, op4_string_tiling, op6_media_jpeg, op7_byte_bpe, op8_surrogates, op9_lsh_forest, op10_feistel_shards)
+    for f in (op1_perspectives, op2_quality_discriminant, op3_toxic_instances, op4_string_tiling, op5_suffix_trees, op6_media_jpeg, op7_byte_bpe, op8_surrogates, op9_lsh_forest, op10_feistel_shards)
 }
 ORACLES = {"op1_perspectives": perspectives.ORACLE_SQL}
