@@ -1,4 +1,6 @@
 """All registered queries and their reference SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from gridloom.plans import geometry
+
+QUERIES = {**geometry.QUERIES}
+ORACLES = {**geometry.ORACLES}
