@@ -30,7 +30,7 @@ def euclid(a: Column, b: Column) -> Column:
 
 def sign_bits(v: Column) -> Column:
     """The signs of 64 values packed in a bigint: bit i is set where value i is above 0."""
-    return F.aggregate(F.transform(v, lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
+    return F.aggregate(F.transform(v, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -7,19 +7,23 @@ how rows are dealt.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import boxes
 from gridloom.functions.vectors import hamming
 
 BOX = ("x1", "y1", "x2", "y2")
+#: A row of a pair: the column of that name.
+Side = Callable[[str], Column]
 
 
-def _grouped(df: DataFrame, group: list[str], *order: Column, extra: tuple[str, ...] = ()) -> DataFrame:
+def _grouped(df: DataFrame, group: list[str], *order: Column) -> DataFrame:
     """One row per group with the array ``rows`` of (sort keys, row columns), sorted."""
     keys = [o.alias(f"_k{i}") for i, o in enumerate(order)]
-    rest = [c for c in df.columns if c not in group and (not extra or c in extra)]
+    rest = [c for c in df.columns if c not in group]
     return df.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(*keys, *rest))).alias("rows"))
 
 
@@ -53,35 +57,38 @@ def greedy_match(preds: DataFrame, truths: DataFrame, group: list[str], threshol
     return every.join(hits, [*keys, "ord"], "left").na.fill(0, ["tp"])
 
 
-def suppress(df: DataFrame, group: list[str], order: list[Column], rejects, *, extra: tuple[str, ...] = ()) -> DataFrame:
-    """df with ``kept``: in order, a row is kept unless rejects(row, kept row) holds for a row that was kept before."""
-    rows = _grouped(df, group, *order, extra=extra)
-    size = F.size("rows")
+def suppress(df: DataFrame, group: list[str], order: list[Column], rejects: Callable[[Side, Side], Column]) -> DataFrame:
+    """df with ``kept``: in order, a row is kept unless rejects(row, earlier row) holds for an earlier row that was kept.
+
+    The rows that could reject each other are found by a join; the fold sees only those, as numbers in their group.
+    """
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    row, earlier = ranked.alias("a"), ranked.alias("b")
+    same = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]
+    pairs = row.join(earlier, [*same, F.col("b._r") < F.col("a._r"), rejects(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))])
+    threats = pairs.groupBy(*[F.col(f"a.{g}") for g in group], F.col("a._r")).agg(F.collect_list("b._r").alias("by"))
+    queue = threats.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_r", "by"))).alias("q"))
+
+    def step(s: Column, x: Column) -> Column:
+        dead = F.exists(x["by"], lambda k: ~F.array_contains(s, k))
+        return F.when(dead, F.concat(s, F.array(x["_r"]))).otherwise(s)
 
-    def step(s: Column, i: Column) -> Column:
-        row = F.element_at(s["rows"], i)
-        dead = F.exists(s["kept"], lambda k: rejects(row, F.element_at(s["rows"], k)))
-        return F.struct(s["rows"].alias("rows"), F.when(dead, s["kept"]).otherwise(F.concat(s["kept"], F.array(i))).alias("kept"))
+    dropped = queue.select(*group, F.explode(F.aggregate("q", F.array().cast("array<int>"), step)).alias("_r"), F.lit(False).alias("kept"))
+    return ranked.join(dropped, [*group, "_r"], "left").na.fill(True, ["kept"]).select(*df.columns, "kept")
 
-    start = F.struct(F.col("rows"), F.array().cast("array<int>").alias("kept"))
-    kept = F.aggregate(F.sequence(F.lit(1), size), start, step, lambda s: s["kept"])
-    out = rows.select(*group, F.posexplode("rows").alias("_i", "_r"), kept.alias("_kept"))
-    own = [c for c in df.columns if c not in group and (not extra or c in extra)]
-    return out.select(*group, *[F.col(f"_r.{c}").alias(c) for c in own], F.array_contains("_kept", F.col("_i") + 1).alias("kept"))
+
+def _box(side: Side) -> boxes.Box:
+    return tuple(side(c) for c in BOX)
 
 
 def nms(df: DataFrame, group: list[str], threshold: float) -> DataFrame:
     """Non-maximum suppression: by falling score, out with IoU above the threshold to a kept box."""
-    return suppress(df, group, [-F.col("score"), F.col("ord")], lambda a, b: boxes.iou(boxes.corners(a), boxes.corners(b)) > F.lit(threshold))
+    return suppress(df, group, [-F.col("score"), F.col("ord")], lambda a, b: boxes.iou(_box(a), _box(b)) > F.lit(threshold))
 
 
 def containment_and_duplicates(df: DataFrame, group: list[str], contained: float, duplicate: float) -> DataFrame:
     """By falling raw score, out if contained in a kept box, or nearly equal to it (both inclusive)."""
-
-    def rejects(a: Column, b: Column) -> Column:
-        p, q = boxes.corners(a), boxes.corners(b)
-        return (boxes.containment(p, q) >= F.lit(contained)) | (boxes.guarded_iou(p, q) >= F.lit(duplicate))
-
+    rejects = lambda a, b: (boxes.containment(_box(a), _box(b)) >= F.lit(contained)) | (boxes.guarded_iou(_box(a), _box(b)) >= F.lit(duplicate))
     return suppress(df, group, [-F.col("score"), F.col("ord")], rejects)
 
 
@@ -89,33 +96,26 @@ def hash_dedup(df: DataFrame, group: list[str], distance: int, order: str = "ord
     """In input order, out if the Hamming distance to a kept hash is at most ``distance``; 0 keeps all."""
     if distance <= 0:
         return df.withColumn("kept", F.lit(True))
-    return suppress(df, group, [F.col(order)], lambda a, b: hamming(a[hash_col], b[hash_col]) <= F.lit(distance))
+    return suppress(df, group, [F.col(order)], lambda a, b: hamming(a(hash_col), b(hash_col)) <= F.lit(distance))
 
 
 def contained_pairs(df: DataFrame, group: list[str], threshold: float) -> DataFrame:
     """df with ``kept``: pairs i < j in input order; one inside another by more than the threshold drops the lower score,
     the later among equals; a dropped box drops no more."""
-    rows = _grouped(df, group, F.col("ord"))
-    n = F.size("rows")
-    # Only pairs over the threshold can drop anything; they come in the order of (i, j).
-    pairs = F.flatten(
-        F.transform(
-            F.col("rows"),
-            lambda a, i: F.filter(
-                F.transform(F.col("rows"), lambda b, j: F.struct(i.alias("i"), j.alias("j"), ((j > i) & (boxes.pixel_containment(boxes.corners(a), boxes.corners(b)) > F.lit(threshold))).alias("hit"), F.when(a["score"] < b["score"], i).otherwise(j).alias("drop"))),
-                lambda p: p["hit"],
-            ),
-        )
-    )
+    i, j = df.alias("a"), df.alias("b")
+    same = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]
+    one, two = (tuple(F.col(f"{s}.{c}") for c in BOX) for s in "ab")
+    pairs = i.join(j, [*same, F.col("a.ord") < F.col("b.ord"), boxes.pixel_containment(one, two) > F.lit(threshold)])
+    drop = F.when(F.col("a.score") < F.col("b.score"), F.col("a.ord")).otherwise(F.col("b.ord"))
+    pairs = pairs.select(*[F.col(f"a.{g}") for g in group], F.struct(F.col("a.ord").cast("long").alias("i"), F.col("b.ord").cast("long").alias("j"), drop.cast("long").alias("drop")).alias("p"))
+    queue = pairs.groupBy(*group).agg(F.sort_array(F.collect_list("p")).alias("q"))
 
     def step(s: Column, p: Column) -> Column:
         skip = F.array_contains(s, p["i"]) | F.array_contains(s, p["j"])
         return F.when(skip, s).otherwise(F.concat(s, F.array(p["drop"])))
 
-    dropped = F.aggregate(pairs, F.array().cast("array<int>"), step)
-    out = rows.where(n > 0).select(*group, F.posexplode("rows").alias("_i", "_r"), dropped.alias("_dropped"))
-    own = [c for c in df.columns if c not in group]
-    return out.select(*group, *[F.col(f"_r.{c}").alias(c) for c in own], (~F.array_contains("_dropped", F.col("_i"))).alias("kept"))
+    dropped = queue.select(*group, F.explode(F.aggregate("q", F.array().cast("array<long>"), step)).alias("ord"), F.lit(False).alias("kept"))
+    return df.join(dropped, [*group, "ord"], "left").na.fill(True, ["kept"]).select(*df.columns, "kept")
 
 
 def weighted_fusion(df: DataFrame, group: list[str], threshold: float, models: int = 1, skip: float = 0.0) -> DataFrame:

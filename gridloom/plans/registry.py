@@ -1,6 +1,6 @@
 """All registered queries and their reference SQL."""
 
-from gridloom.plans import geometry
+from gridloom.plans import evaluation, geometry
 
-QUERIES = {**geometry.QUERIES}
-ORACLES = {**geometry.ORACLES}
+QUERIES = {**geometry.QUERIES, **evaluation.QUERIES}
+ORACLES = {**geometry.ORACLES, **evaluation.ORACLES}
