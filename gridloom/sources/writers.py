@@ -6,11 +6,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from gridloom.functions import boxes
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def label_line(cls: pd.Series, cx: pd.Series, cy: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
     """``%d %.6f %.6f %.6f %.6f``. The JVM rounds halves of the decimal form, C and Python the exact value; so this is Arrow."""
     return pd.Series(["%d %.6f %.6f %.6f %.6f" % row for row in zip(cls, cx, cy, w, h, strict=True)])
