@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import arrow_map, utf8
 
-#: Kept states of the transducer, and kept pieces, before the tables start anew.
-STATES, PIECES = 100_000, 250_000
+#: Kept states of the transducer before it starts anew, and pieces of each of the two generations that are kept.
+STATES, PIECES = 250_000, 350_000
 #: Positions that wait for their chains to meet before settled tokens are emitted.
 PENDING = 512
 #: Unicode white space, which is what the split pattern's \s stands for.
@@ -50,6 +50,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
+        self.size_of = {r: len(t) for t, r in ranks.items()}
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t) + 1)}
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -116,38 +117,44 @@ class Transducer:
             self._clear()
         out: list[int] = []
         ends: list[int] = []  # the last token at each place since what was emitted
-        state, known = 0, self.moves.get
-        for byte in piece:
-            step = known(256 * state + byte) or self._step(state, byte)
-            state = step[0]
-            ends.append(step[1])
-            if len(ends) >= PENDING:
+        state, known, end = 0, self.moves.get, ends.append
+        for at in range(0, len(piece), PENDING):
+            if at:
                 self._emit(ends, out, len(self.keys[state][0]))
-                if len(self.keys) > STATES:
+                if len(self.keys) > STATES:  # anew, from the state that is now
                     key = self.keys[state]
                     self._clear()
                     known, state = self.moves.get, self.index.setdefault(key, len(self.keys))
                     if state == len(self.keys):
                         self.keys.append(key)
-        self._emit(ends, out, 0)
-        return out
+            for byte in piece[at : at + PENDING]:
+                step = known(256 * state + byte) or self._step(state, byte)
+                state = step[0]
+                end(step[1])
+        return out + self._chain(ends, len(ends))
+
+    def _chain(self, ends: list[int], at: int) -> list[int]:
+        """The tokens that lead to a place."""
+        found, size = [], self.size_of
+        while at > 0:
+            token = ends[at - 1]
+            found.append(token)
+            at -= size[token]
+        found.reverse()
+        return found
 
     def _emit(self, ends: list[int], out: list[int], window: int) -> None:
         """Move tokens to out up to the last place that every chain from the last ``window`` places passes."""
-        n, length = len(ends), self.bytes_of
+        n, size = len(ends), self.size_of
         places = set(range(n - window, n + 1))
         while len(places) > 1:  # the farthest place steps back until all chains have met
             far = max(places)
             places.remove(far)
-            places.add(far - len(length[ends[far - 1]]) if far else 0)
+            places.add(far - size[ends[far - 1]])
             if min(places) <= 0:
                 places = {0}
-        at = meet = places.pop()
-        found = []
-        while at > 0:
-            found.append(ends[at - 1])
-            at -= len(length[found[-1]])
-        out.extend(reversed(found))
+        meet = places.pop()
+        out += self._chain(ends, meet)
         del ends[:meet]
 
     def encode(self, text: str) -> bytes:
@@ -163,17 +170,20 @@ class Transducer:
 
 
 class _Pieces(dict):
-    """Encodings of chunks that were met, up to PIECES of them."""
+    """Encodings of chunks that were met: PIECES of them, and as many of the generation before."""
 
     def __init__(self, owner: Transducer):
-        self.owner = owner
+        self.owner, self.older = owner, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        owner = self.owner
-        out = array("I", [i for piece in owner.split(chunk) for i in owner.encode_piece(piece.encode())]).tobytes()
-        if len(self) >= PIECES:
-            self.clear()
+        out = self.older.get(chunk)
+        if out is None:
+            split, encode = self.owner.split, self.owner.encode_piece
+            out = array("I", [i for piece in split(chunk) for i in encode(piece.encode())]).tobytes()
         if len(chunk) <= 64:
+            if len(self) >= PIECES:
+                self.older = dict(self)
+                self.clear()
             self[chunk] = out
         return out
 
