@@ -349,6 +349,29 @@ ORACLES |= {
     .removeprefix("WITH RECURSIVE").replace(", ranked AS", _SIM + ", passed AS (SELECT * FROM gated WHERE combined >= 0.2::DOUBLE), ranked AS", 1).replace("FROM c)", "FROM passed)", 1)
     .replace("SELECT img, cls, p.ord AS ord, keep AS kept FROM fold", "SELECT f.img, f.cls, f.p.ord AS ord, f.p.x1 AS x1, f.p.y1 AS y1, f.p.x2 AS x2, f.p.y2 AS y2, g.score, round(g.sim, 6) AS sim, round(g.combined, 6) AS combined FROM fold f JOIN passed g ON g.img = f.img AND g.cls = f.cls AND g.ord = f.p.ord WHERE keep"),
 }
+# Representatives: medoids, large clusters first, then farthest points of the noise; 12 of a class at most.
+_SELECT = _MEDOIDS + """, src AS (SELECT v.cls, v.id, v.e FROM v JOIN labels l ON l.id = v.id WHERE l.label = -1), """ + _FARTHEST.format(k=12) + """,
+reps AS (SELECT cls, CAST(row_number() OVER (PARTITION BY cls ORDER BY size DESC, label) - 1 AS INT) AS pos, id FROM med),
+many AS (SELECT v.cls, (SELECT count(*) FROM reps r WHERE r.cls = v.cls) AS n, (SELECT count(*) FROM src s WHERE s.cls = v.cls) AS m FROM (SELECT DISTINCT cls FROM v) v)
+SELECT cls, pos, id FROM reps WHERE pos < 12
+UNION ALL SELECT w.cls, CAST(w.pos + n AS INT), w.id FROM walk w JOIN many y ON y.cls = w.cls WHERE w.pos + n < 12 AND w.pos < m"""
+_HASHED = ORACLES["phash_dedup"].removeprefix("WITH RECURSIVE ").rpartition("SELECT cls, ord, keep")[0].replace(" fold ", " hfold ")
+ORACLES |= {
+    "cluster_select": "WITH RECURSIVE " + _SELECT,
+    "extract": f"WITH RECURSIVE {_HASHED}, fresh AS (SELECT ord FROM hfold WHERE keep), " + _SELECT.replace("FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT ord FROM fresh))", 1),
+    "fuse_a": f"WITH RECURSIVE {_CLUMPED}{_SIM}, props AS (SELECT img, cls, ord, x1 / 1000 AS x1, y1 / 1000 AS y1, x2 / 1000 AS x2, y2 / 1000 AS y2, 0.3::DOUBLE * score + 0.7::DOUBLE * sim AS score FROM gated WHERE sim >= 0.2::DOUBLE), "
+    + _CLUSTERS.format(source="props")
+    + """, px AS (SELECT img, cls, x1 * 1000 AS x1, y1 * 1000 AS y1, x2 * 1000 AS x2, y2 * 1000 AS y2, score, row_number() OVER (PARTITION BY img, cls ORDER BY score DESC, cluster) AS ord FROM fused WHERE score >= 0.2::DOUBLE),
+      hits AS (SELECT i.img, i.cls, i.ord AS i, j.ord AS j, CASE WHEN i.score < j.score THEN i.ord ELSE j.ord END AS victim FROM px i JOIN px j ON i.img = j.img AND i.cls = j.cls AND i.ord < j.ord
+        WHERE least(i.x2, j.x2) > greatest(i.x1, j.x1) AND least(i.y2, j.y2) > greatest(i.y1, j.y1)
+          AND (least(i.x2, j.x2) - greatest(i.x1, j.x1)) * (least(i.y2, j.y2) - greatest(i.y1, j.y1)) / greatest(least((i.x2 - i.x1) * (i.y2 - i.y1), (j.x2 - j.x1) * (j.y2 - j.y1)), 1.0::DOUBLE) > 0.7::DOUBLE),
+      q AS (SELECT *, row_number() OVER (PARTITION BY img, cls ORDER BY i, j) AS r FROM hits),
+      drops AS (SELECT img, cls, r, [victim] AS gone FROM q WHERE r = 1
+        UNION ALL SELECT n.img, n.cls, n.r, CASE WHEN list_contains(f.gone, n.i) OR list_contains(f.gone, n.j) THEN f.gone ELSE f.gone || [n.victim] END FROM drops f JOIN q n ON n.img = f.img AND n.cls = f.cls AND n.r = f.r + 1),
+      final AS (SELECT img, cls, arg_max(gone, r) AS gone FROM drops GROUP BY img, cls)
+      SELECT p.img, p.cls, CAST(p.ord AS INT) AS ord, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(score, 6) AS score FROM px p LEFT JOIN final l ON p.img = l.img AND p.cls = l.cls
+      WHERE NOT coalesce(list_contains(l.gone, p.ord), FALSE)""",
+}
 NAMES = (
     "greedy_match global_flags per_image_stats prf1 pr_curve ap50 ap_coco map_overall per_image_pivot iou_pairs iou_containment best_containment nms suppress_b containment_a wbf "
     "phash_dedup hamming fps dbscan medoids auto_eps cluster_select cap_shortcut extract fuse_a fuse_b combined_gate result_gate p90_area median_area small_classes summary_counts avg_sim"
