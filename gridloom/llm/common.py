@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows and bytes that one Arrow batch may bring to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Rows that one Arrow batch may bring to a Python worker (and eight times the bytes), and bytes that are worked on at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,7 @@ def saved(df: DataFrame) -> DataFrame:
 def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow over slices of a bounded number of bytes; each(batch) gives a batch of ``schema`` or None."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +128,7 @@ class Rolling:
 
     def grow(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n += n >> 2
             self.up, self.down = _powers(self.p, n), _powers(self.inv, n)
 
     def prefix(self, values: np.ndarray) -> np.ndarray:

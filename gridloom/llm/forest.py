@@ -33,8 +33,8 @@ from gridloom.llm.common import Rolling, Words, arrow_map, mixed, saved, slices,
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEEPEST, RECALL = 32, 8, 0.9999
-#: Set elements in a cell's chunk, about.
-CELL = 600_000
+#: Set elements in a cell's chunk, about; a class counts as EACH more, as links of all pairs in a cell are held at once.
+CELL, EACH = 600_000, 250
 #: Rows of a side that may be broadcast (of 8 to 60 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 300_000
 
@@ -160,7 +160,7 @@ def _verify(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple
         links &= side[:, None] != side[None, :]
     root = np.arange(n)
     while True:  # the least index spreads along links
-        new = np.minimum(root, np.where(links, root[None, :], n).min(1))
+        new = np.concatenate([np.minimum(root[a : a + 256], np.where(links[a : a + 256], root[None, :], n).min(1)) for a in range(0, n, 256)])
         new = np.minimum(new, new[new])
         if (new == root).all():
             return links.sum(1), root
@@ -190,16 +190,17 @@ def _cell(table: pa.Table, threshold: float) -> pa.Table:
 
 def _cells(candidates: DataFrame, threshold: float, cell: int) -> DataFrame:
     """candidates (key, fp, comp, n) with the array of cells (name, side) of each, and whether its component has several."""
-    total = candidates.agg(F.sum("n")).first()[0] or 0
+    weight = F.sum(F.col("n") + EACH)
+    total = candidates.agg(weight).first()[0] or 0
     bins = max(1, ceil(total / cell))
-    sizes = candidates.groupBy("comp").agg(F.sum("n").alias("total"))
+    sizes = candidates.groupBy("comp").agg(weight.alias("total"))
     small = F.array(F.struct(F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(bins)).cast("string")).alias("cell"), F.lit(0).alias("side")))
     rows = candidates.join(sizes, "comp")
     one = rows.where(F.col("total") <= cell).select("key", "fp", "comp", "n", small.alias("cells"), F.lit(False).alias("multi"))
     step = log(1 / threshold)
     large = rows.where(F.col("total") > cell).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)))
     # Chunks of a band: as many as its elements ask for.
-    bands = large.groupBy("comp", "band").agg(F.ceil(F.sum("n") / F.lit(cell)).alias("m"))
+    bands = large.groupBy("comp", "band").agg(F.ceil(weight / F.lit(cell)).alias("m"))
     above = bands.select("comp", (F.col("band") - 1).alias("band"), F.col("m").alias("up"))
     below = bands.select("comp", (F.col("band") + 1).alias("band"), F.col("m").alias("down"))
     bands = bands.join(above, ["comp", "band"], "left").join(below, ["comp", "band"], "left").na.fill(0)
@@ -287,9 +288,10 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     rows, classed = groups(docs, **options)
     gone = saved(rows.join(classed, "key").where(F.col("fp") != F.col("class_fp")).select("fp").distinct())
     again = saved(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fp"))
-    own = docs.withColumn("_fp", fingerprint(docs))
-    kept = own.join(_few(gone.withColumnRenamed("fp", "_fp")), "_fp", "left_anti")
+    fp = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    own = docs.withColumn(fp, fingerprint(docs))
+    kept = own.join(_few(gone.withColumnRenamed("fp", fp)), fp, "left_anti")
     if again.take(1):  # rows that are repeated as they are
-        some = _few(again.withColumnRenamed("fp", "_fp"))
-        kept = kept.join(some, "_fp", "left_anti").select(*own.columns).union(kept.join(some, "_fp", "left_semi").select(*own.columns).dropDuplicates(["_fp"]))
+        some = _few(again.withColumnRenamed("fp", fp))
+        kept = kept.join(some, fp, "left_anti").select(*own.columns).union(kept.join(some, fp, "left_semi").select(*own.columns).dropDuplicates([fp]))
     return kept.select(*docs.columns)

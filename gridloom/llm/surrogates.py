@@ -263,7 +263,8 @@ def safe_key(docs: DataFrame, key: str = KEY, text_col: str = "text") -> str:
 
 def replaced(docs: DataFrame, key: str = KEY, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with its texts' entities replaced; with count_col their number is added."""
-    found, names = "__matches", docs.columns
+    names = docs.columns
+    found = "_" * (1 + max(map(len, names)))  # a name that no column has
     rows = docs.withColumn(found, F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)))
     new = F.transform(F.col(found), lambda m: surrogate(m, key))
     pieces = F.split(F.col(text_col), PATTERN, -1)
