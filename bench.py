@@ -29,12 +29,14 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     registry.QUERIES["prf1"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # starts the JVM's compiler
-    took = {}
+    took, start, limit = {}, time.time(), float(os.environ.get("BENCH_SECONDS", "600"))
     for name in HEADLINE:
+        if time.time() - start > limit:  # the rest is listed as not run
+            break
         began = time.time()
         registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "not_run": HEADLINE[len(took) :], "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
 
