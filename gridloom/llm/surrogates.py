@@ -34,11 +34,13 @@ ROUNDS = 3
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Sr", "Sra", "Monsieur", "Madame", "Mme", "Господин", "Госпожа", "Κύριος", "Κυρία")
 _WORD = r"\p{Lu}\p{L}{1,40}(?:-\p{Lu}\p{L}{1,40})?"
 _SECRET = r"(?i:password|passwd|token|secret|api[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
+#: A secret's value to its end, of 8 characters at least; punctuation belongs to it where more of the value follows.
+_VALUE = r"[A-Za-z0-9_+/-][A-Za-z0-9_+/.=~!#$%*@^:-]{6,}[A-Za-z0-9_+/-]"
 _TITLE = "(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? "
 #: The kinds in the order in which they are tried at a place; all begin where no letter or digit stands before.
 PATTERNS = {
     "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}+\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
-    "secret": rf"{_SECRET}[A-Za-z0-9_+/-]{{8,256}}",
+    "secret": rf"{_SECRET}{_VALUE}",
     "access_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<!\.)(?=\d)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
@@ -104,7 +106,9 @@ def _encrypted(x: Column, key: str, kind: str, alphabets: tuple[str, ...]) -> Co
     start = F.struct(F.substr(x, F.lit(1), half).alias("l"), F.substr(x, half + 1).alias("r"))
 
     def turn(own: Column, other: Column, tag: Column) -> Column:
-        return F.array_join(F.transform(F.split(own, ""), lambda c, i: _moved(c, _number(key, F.lit(kind), tag, other, i.cast("string")), alphabets)), "")
+        # The digest of a long half is made once, so that a long secret costs its length and not its square.
+        short = F.array(F.when(F.length(other) > 128, F.sha2(other, 256)).otherwise(other))
+        return F.transform(short, lambda o: F.array_join(F.transform(F.split(own, ""), lambda c, i: _moved(c, _number(key, F.lit(kind), tag, o, i.cast("string")), alphabets)), ""))[0]
 
     def both(s: Column, r: Column) -> Column:
         left = turn(s["l"], s["r"], F.concat(r.cast("string"), F.lit("l")))

@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +79,15 @@ def test_edges(spark, edge_docs, no_docs):
 @pytest.mark.parametrize("text", ["1.2.3", "300.1.1.1", "a@b", "12345678901234567890123", "v1.2.3.4.5", "123-456", "The token is lost", "call me"])
 def test_clean_text_stays(spark, text):
     assert S.replaced(docs(spark, text), "k").first().text == text
+
+
+def test_secrets_are_replaced_to_their_end(spark):
+    rng = random.Random(3)
+    drawn = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    long, jwt, odd = drawn(400), ".".join(drawn(n) for n in (36, 90, 43)), "Ab3xYz99!" + drawn(12) + "=="
+    text = f'token = "{long}" then api_key: {jwt}. Next password={odd} end'
+    new = S.replaced(docs(spark, text), "k").first().text
+    assert len(new) == len(text) and new.startswith('token = "') and re.search(r"\. Next password=\S+== end$", new)
+    for old in (long, jwt, odd):
+        assert not any(old[i : i + 8] in new for i in range(len(old) - 9))
+    assert S.replaced(docs(spark, "password=" + "a.b~" * 2_000 + "c"), "k").first().text.count("a.b~") < 100
