@@ -62,11 +62,14 @@ _TELLS = (
     ("phone", r"^[+(\d]"),
     ("name", ""),
 )
+_GAP = r"[ .()-]*"
+#: A phone's country code by its digits alone, whatever separates them: codes of one and of two digits; all others have three.
+_COUNTRY = "(?:[17]|" + "|".join(f"{a}{_GAP}[{b}]" for a, b in (("2", "07"), ("3", "0-469"), ("4", "013-9"), ("5", "1-8"), ("6", "0-6"), ("8", "1246"), ("9", "0-58"))) + rf"|\d{_GAP}\d{_GAP}\d)"
 #: Beginnings that stay as they are, by kind.
 _STAYS = {
     "secret": f"^{_SECRET}",
     "access_key": "^....",
-    "phone": r"^\+(?:\d{1,3}(?=[ .(-])|[17]|\d{2})|^",
+    "phone": rf"^\+{_COUNTRY}|^",
     "name": f"^{_TITLE}",
 }
 
@@ -237,7 +240,12 @@ def surrogate(match: Column, key: str = KEY) -> Column:
 
 def _canonical(match: Column, kind: Column) -> Column:
     """What is one entity: letters and digits, without the part that stays by its kind's name only."""
-    return F.when(kind == "secret", F.regexp_replace(match, f"^{_SECRET}", "")).when(kind == "access_key", match).when(kind == "ip", match).when(kind == "name", F.lower(F.regexp_replace(match, f"^{_TITLE}", ""))).when(kind == "email", F.lower(match)).otherwise(_letters(F.lower(match)))
+    lower = F.regexp_replace(F.lower(match), "\u0307", "")  # what is left of a dotted capital I beside its i
+    octets = F.array_join(F.transform(F.split(match, r"\."), lambda o: o.try_cast("long").cast("string")), ".")
+    known = F.when(kind == "secret", F.regexp_replace(match, f"^{_SECRET}", "")).when(kind == "access_key", match).when(kind == "ip", octets)
+    known = known.when(kind == "name", F.regexp_replace(F.lower(F.regexp_replace(match, f"^{_TITLE}", "")), "\u0307", "")).when(kind == "email", lower)
+    # A number with a country code is another one than the same digits without.
+    return known.when(kind == "phone", F.concat(F.regexp_extract(match, r"^\+?", 0), _letters(match))).otherwise(_letters(lower))
 
 
 def entity_map(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:

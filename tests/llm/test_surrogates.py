@@ -91,3 +91,16 @@ def test_secrets_are_replaced_to_their_end(spark):
     for old in (long, jwt, odd):
         assert not any(old[i : i + 8] in new for i in range(len(old) - 9))
     assert S.replaced(docs(spark, "password=" + "a.b~" * 2_000 + "c"), "k").first().text.count("a.b~") < 100
+
+
+def test_notations_of_an_entity_do_not_collide(spark):
+    d = docs(
+        spark, "call +351 912 345 678 or +351912345678 or +35 1912345678; +1 363 555 6578 or +13635556578; +44 20 7946 0958 or +442079460958",
+        "+351 912 3456 is not 351-912-3456", "ip 10.0.0.1 or 10.0.0.01, mail \u0130da@mail.example.com or ida@mail.example.com",
+    )
+    assert S.collisions(d, "k").collect() == [] and S.safe_key(d, "k") == "k:0"
+    one, two, _ = [r.text for r in S.replaced(d, "k").sort("doc_id").collect()]
+    numbers = [re.sub(r"\D", "", n) for n in re.findall(r"\+[\d ]*\d", one)]
+    assert len(set(numbers[:3])) == len(set(numbers[3:5])) == len(set(numbers[5:])) == 1 and len(numbers) == 7
+    assert [n[:k] for n, k in zip(numbers[::3], (3, 1, 2))] == ["351", "1", "44"] and numbers[0] != "351912345678"
+    assert two.startswith("+351 ") and "912" not in two
