@@ -81,7 +81,7 @@ def best_containment(spark, sf):
 
 def _clumped(spark, sf):
     """Predictions drawn together, so that many overlap."""
-    rows = fx.preds(spark, sf).where("ord <= 25")
+    rows = fx.preds(spark, sf)
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     x, y = F.floor(F.col("x1") / 5).cast("double"), F.floor(F.col("y1") / 5).cast("double")
     return rows.select(*KEYS, "score", x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"))
@@ -151,8 +151,8 @@ def extract(spark, sf):
 
 def _with_vectors(spark, sf, rows):
     """Detections with an embedding each: that of a proposal vector chosen by place."""
-    v = fx.vectors(spark, sf).where("id < 500").select("id", "emb")
-    key = F.pmod(F.col("img") * 31 + F.col("ord") * 7 + F.col("cls"), F.lit(500)).alias("id")
+    v = fx.vectors(spark, sf).select("id", "emb")
+    key = F.pmod(F.col("img") * 31 + F.col("ord") * 7 + F.col("cls"), F.lit(max(1, v.count()))).alias("id")
     return rows.select("*", key).join(joins.small(v), "id").drop("id")
 
 

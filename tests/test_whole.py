@@ -3,12 +3,23 @@
 import duckdb
 import pytest
 
-from gridloom.plans import registry
+from gridloom.plans import evaluation, registry
+from gridloom.plans import fixtures as fx
 from tests.test_queries import SF, TABLES, plain
 
+CLUMPED = [(" WHERE ord <= 25)", ")")]
+KEYED = [(" WHERE vec_id < 500)", ")"), ("c.cls) % 500)", "c.cls) % (SELECT count(*) FROM embeddings))")]
 #: The caps in the SQL, as they stand there.
 CAPS = {
     "cosine": [(" AND b.id < 400", "")],
+    "nms": CLUMPED,
+    "suppress_b": CLUMPED,
+    "containment_a": CLUMPED,
+    "wbf": CLUMPED,
+    "result_gate": CLUMPED,
+    "fuse_a": CLUMPED + KEYED,
+    "fuse_b": CLUMPED + KEYED,
+    "combined_gate": CLUMPED + KEYED,
 }
 
 
@@ -24,3 +35,11 @@ def test_all_rows_take_part(spark, name):
     columns = [c[0] for c in ran.description]
     want = sorted(repr([plain(x) for x in r]) for r in ran.fetchall())
     assert sorted(repr([plain(r[c]) for c in columns]) for r in registry.QUERIES[name](spark, SF).collect()) == want
+
+
+def test_every_embedding_is_dealt(spark):
+    sf = "/root/testdata/sf0.1"
+    n = {r.id: r.emb for r in fx.vectors(spark, sf).collect()}
+    rows = evaluation._with_vectors(spark, sf, fx.preds(spark, SF)).collect()
+    assert len(n) > 500 and len(rows) == fx.preds(spark, SF).count()
+    assert all(r.emb == n[(r.img * 31 + r.ord * 7 + r.cls) % len(n)] for r in rows)
