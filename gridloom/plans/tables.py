@@ -204,7 +204,7 @@ def exemplar_prefix(spark, sf):
 
 
 def best_mask(spark, sf):
-    rows = fx.preds(spark, sf).where("ord <= 9").groupBy("img", "cls").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"))).alias("m"))
+    rows = fx.preds(spark, sf).groupBy("img", "cls").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"))).alias("m"))
     return rows.select("img", "cls", (-F.col("m.o")).alias("best"), F.col("m.score").alias("score"))
 
 

@@ -11,6 +11,7 @@ CLUMPED = [(" WHERE ord <= 25)", ")")]
 KEYED = [(" WHERE vec_id < 500)", ")"), ("c.cls) % 500)", "c.cls) % (SELECT count(*) FROM embeddings))")]
 #: The caps in the SQL, as they stand there.
 CAPS = {
+    "best_mask": [(" WHERE ord <= 9)", ")")],
     "cosine": [(" AND b.id < 400", "")],
     "nms": CLUMPED,
     "suppress_b": CLUMPED,
