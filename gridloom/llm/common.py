@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from math import ceil, isqrt
 
@@ -20,11 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, read from the session; one of our own is set only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir, read from the session. Only in local mode, where the driver and its tasks share a disk,
+    a folder of our own is set if there is none (tests); on a cluster that is an error. It is deleted when the application ends."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
-    return context._jsc.sc().getCheckpointDir().get()
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridloom-"))
+    folder = context._jsc.sc().getCheckpointDir().get()  # Spark's own for this application, inside the one that is set
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -39,10 +48,36 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Rounds:
+    """Tables of an iteration: each is written to the shared folder and read again, and the one before is deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}", 0
+
+    def next(self, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{self.n}")
+        if self.n:
+            remove(self.spark, f"{self.folder}/{self.n - 1}")
+        self.n += 1
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n - 1}")
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of an Arrow batch to BATCH_ROWS and 8 * BATCH_BYTES; lower ones stay.
+
+    Spark reads them when a plan runs and not when it is made, so they can't be put back before a lazy result is used.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", 8 * BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        now = int(now) if now.isdigit() else 0
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow over slices of a bounded number of bytes; each(batch) gives a batch of ``schema`` or None."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * BATCH_BYTES))
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +137,7 @@ def near_square(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
-# Hashes of words, from the bytes of many texts at once.
+# Hashes of words, and of runs of words, of many texts at once.
 
 
 def _powers(p: np.uint64, n: int) -> np.ndarray:
@@ -158,10 +193,40 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+
+
+def word_hashes(data: bytes, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of the byte ranges, which must not be empty: blocks of 8 bytes chained through ``mixed``, or BLAKE2b.
+
+    Words of up to 8 bytes and of equal length never collide; streams of two seeds are independent.
+    """
+    data += bytes(8)
+    blocks = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    size = end - start
+    with np.errstate(over="ignore"):
+        out = mixed(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        out = mixed(out ^ (blocks[start] & masks[np.minimum(size, 8)]))
+        some = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+        at = 8
+        while len(some):
+            block = blocks[start[some] + at] & masks[np.minimum(size[some] - at, 8)]
+            out[some] = mixed(out[some] * np.uint64(0xD6E8FEB86659FD93) + block)
+            at += 8
+            some = some[size[some] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]], digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of several texts: byte ranges in ``data``, 64-bit hashes, and each text's range of words."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of several texts: byte ranges in ``data``, each text's range of words, and for each seed
+    the words' 64-bit hashes."""
 
-    def __init__(self, texts: list[bytes], rolling: Rolling | None):
+    def __init__(self, texts: list[bytes], *seeds: int):
         self.data = b"\n".join(texts) + b"\n"
         raw = np.frombuffer(self.data, np.uint8)
         gap = SPACE[raw]
@@ -176,12 +241,7 @@ class Words:
         self.text_end = np.cumsum(sizes)
         self.first = np.searchsorted(self.start, self.text_end - sizes)
         self.last = np.searchsorted(self.start, self.text_end)
-        if rolling is not None:
-            values = raw.astype(np.uint64)
-            with np.errstate(over="ignore"):
-                values = (values + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-            prefix = rolling.prefix(values)
-            self.hash = rolling.ranges(prefix, self.start, self.end)
+        self.hashes = [word_hashes(self.data, self.start, self.end, s) for s in seeds]
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first)), self.last - self.first)

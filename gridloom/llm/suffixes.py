@@ -1,24 +1,26 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
-Each window of ``window`` consecutive words that also starts earlier in the corpus is removed. The suffixes that matter are cut
-to that depth, and they are split into groups by prefixes of their words, of a length that follows from the data:
-
-1. Of each window the run of ``GRAM`` words with the least hash is its anchor, so equal windows have equal anchors. Windows
-   of a document with the same anchor lie side by side and make a span. Spans are dealt and sorted by (anchor, span,
-   document, place): range partitions cut any group, however large, and one streaming pass finds repeated spans, whose
-   windows all start earlier, without looking at windows at all. What is left are the first spans of each text, and only where
-   an anchor has several.
-2. Such spans go to subtrees by their anchor's prefix. Bins of prefixes are of a size that fits in memory. A subtree is held as
-   its sorted suffixes with the lengths of their common prefixes (LCP intervals are its internal nodes); an internal
-   node at full depth is a repeat, and all but its first leaf start earlier.
-3. Anchors with more than ``CROWD`` different spans, or whose group is cut by a partition's end, get the longest prefix
-   instead, the whole window. Such a group is a single node, so a grouped minimum and a join replace the tree.
-
-Repeats found by 1 and 3 are held by 128 bits of hashes, those by 2 word by word.
+Each window of ``window`` consecutive words that also starts earlier in the corpus is removed. A window's suffix is read from its
+anchor, the run of ``gram`` words with the least hash in it: from the anchor to the window's end, an end mark, then the words before
+the anchor backwards. Equal windows have equal suffixes and the other way round. Consecutive windows of a document with one
+anchor make a span, which is one row for all its suffixes.
+
+1. Candidates. Suffixes begin with the anchor's words, so the anchor is their first prefix. Spans are dealt and sorted by (anchor,
+   document, place), where range partitions cut any group, and anchors that occur once are dropped: such a subtree has no internal
+   node. Hashes serve only for this; a collision keeps a span too many.
+2. Partial trees. Each task brings its candidates' words, and spans of equal words become one leaf with its first place; the others
+   start later. So a passage that is everywhere is a row for each task (and ``HELD`` bytes), not for each copy.
+3. Prefixes. Suffixes are counted by prefix. A prefix of more than ``crowd`` suffixes is lengthened, by windows now: ``gram``, then
+   twice that, at last the whole suffix; the lengths that occur follow from the counts. Leaves that become equal are merged again.
+4. Subtrees. Groups of prefixes are dealt to bins of ``bin_windows`` suffixes. Each is a subtree, held as sorted suffixes with the
+   lengths of their common prefixes. Its internal nodes of full depth are the repeats; all but the first leaf of a node start earlier.
+
+All repeats are decided in 2 and 4, on words. The runs that they cover are the maximal repeats (``removed_spans``).
 
 Defined cases: null texts have no words; documents of fewer words than a window lose none; the earlier of two places is that
-of the smaller doc_id (null ids last), then of the smaller 64-bit row hash, then of the earlier start; rows repeated as they are
-count as one document and have equal results; an empty table gives no rows; other columns are not read.
+of the smaller doc_id (null counts as the largest), then of the smaller 64-bit row hash, then of the earlier start; rows repeated as
+they are count as one document and have equal results; an empty table gives no rows; other columns are not read; doc_id must be
+an integer column.
 """
 
 from __future__ import annotations
@@ -34,282 +36,298 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import Rolling, Words, arrow_map, saved, slices, utf8
 
 WINDOW, GRAM = 20, 6
-#: Different spans of an anchor that go to one subtree, and spans in a bin of subtrees.
-CROWD, BIN = 1000, 30_000
+#: Suffixes of one prefix before it is lengthened, and suffixes in a bin of subtrees.
+CROWD, BIN = 2000, 8000
+#: Bytes of leaves that a task holds to merge equal ones.
+HELD = 16 << 20
+#: Rows of a side that may be broadcast.
+BROADCAST_ROWS = 200_000
+_SEED, _BASE = 0x165667B1, 0xC2B2AE3D27D4EB4F
+_PLAIN = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 
+# A place is a span's first window's start, its number of windows and the anchor's distance from that start.
 
-def _rollings() -> tuple[Rolling, Rolling, Rolling]:
-    return Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F), Rolling(0x165667B19E3779F9)
 
+def _place(start, count, anchor):
+    return (start << 20) | (count << 10) | anchor
 
-def spans(words: Words, rolling: tuple[Rolling, Rolling, Rolling], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of each span: the anchor's and the span's hash, its text, its first window's start in that text, and its windows."""
-    n = len(words.start)
-    empty = np.empty(0, np.int64)
+
+def spans(words: Words, rolling: Rolling, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Of each span: the anchor's hash, its text, its first window's start in that text, its windows, and the anchor's distance."""
+    n, empty = len(words.start), np.empty(0, np.int64)
+    nothing = (empty.astype(np.uint64), empty, empty, empty, empty)
     if n < window:
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
+        return nothing
     owner = words.text_of_word()
     starts = np.arange(n - window + 1)
     starts = starts[owner[starts] == owner[starts + window - 1]]
-    prefix = rolling[1].prefix(words.hash)
+    if not len(starts):
+        return nothing
+    prefix = rolling.prefix(words.hashes[0])
     at = np.arange(n - gram + 1)
-    grams = rolling[1].ranges(prefix, at, at + gram)
+    grams = rolling.ranges(prefix, at, at + gram)
     choices = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1)
     anchor = np.empty(len(starts), np.int64)
     for a in range(0, len(starts), 1 << 18):
         s = starts[a : a + (1 << 18)]
         anchor[a : a + len(s)] = s + choices[s[0] : s[-1] + 1].argmin(1)[s - s[0]]
-    if not len(starts):
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
     # A span ends where the anchor changes; windows with one anchor can't belong to two texts.
     first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)))
-    count = np.diff(np.append(first, len(starts)))
     low = starts[first]
-    whole = rolling[2].ranges(rolling[2].prefix(words.hash), low, low + count + window - 1)
-    return grams[anchor[first]], whole, owner[low], low - words.first[owner[low]], count
+    return grams[anchor[first]], owner[low], low - words.first[owner[low]], np.diff(np.append(first, len(starts))), anchor[first] - low
 
 
 class Subtree:
-    """The suffixes of a bin cut to ``depth`` words, sorted, with the words that each shares with the one before."""
+    """The suffixes of spans' windows, sorted, with the number of symbols that each shares with the one before.
 
-    def __init__(self, texts: list[bytes], depth: int):
+    texts are spans in the order of their places; anchors their anchors' distances.
+    """
+
+    def __init__(self, texts: list[bytes], anchors: np.ndarray, window: int):
         table: dict[bytes, int] = {}
-        ids = [[table.setdefault(w, len(table)) for w in t.split(b" ")] for t in texts]
-        sizes = np.array([len(x) for x in ids])
+        ids = [[table.setdefault(w, len(table) + 1) for w in t.split(b" ")] for t in texts]  # 0 is the end mark
+        sizes = np.array([len(x) for x in ids], np.int64)
         flat = np.array([i for x in ids for i in x], np.int32)
         begin = np.cumsum(sizes) - sizes
-        windows = sizes - depth + 1
+        windows = sizes - window + 1
+        self.depth = window + 1
         self.text = np.repeat(np.arange(len(ids)), windows)
         self.start = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        rows = flat[(begin[self.text] + self.start)[:, None] + np.arange(depth)]
-        self.order = np.lexsort((self.start, self.text, *rows.T[::-1]))
+        rows = np.zeros((len(self.text), self.depth), np.int32)
+        rows[:, :window] = flat[(begin[self.text] + self.start)[:, None] + np.arange(window)]
+        read = np.array([[*range(o, window), window, *range(o - 1, -1, -1)] for o in range(window)])
+        rows = np.take_along_axis(rows, read[np.asarray(anchors)[self.text] - self.start], 1)
+        self.order = np.lexsort(rows.T[::-1])  # stable: equal suffixes stay in the order of places
         rows = rows[self.order]
-        self.lcp = np.append(0, np.cumprod(rows[1:] == rows[:-1], axis=1).sum(1)).astype(np.int64)
+        self.lcp = np.append(0, np.cumprod(rows[1:] == rows[:-1], axis=1).sum(1)).astype(np.int64)[: len(rows)]
 
-    def nodes(self, depth: int) -> list[tuple[int, int]]:
-        """Ranges of the sorted suffixes below each internal node of that depth or more."""
-        deep = np.append(self.lcp >= depth, False)
-        edge = np.diff(deep.astype(np.int8))
-        return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) + 1).tolist(), strict=True))
+    def nodes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of the sorted suffixes below the internal nodes of that depth or more."""
+        edge = np.diff(np.append(self.lcp >= depth, False).astype(np.int8))
+        return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
 
-    def later(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """(text, start) of the leaves of deep nodes but the first of each; texts count as given in order."""
-        again = self.order[self.lcp >= depth]
-        return self.text[again], self.start[again]
+    def repeats(self) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, first leaf of its node) of the leaves below full-depth nodes, but the first ones; leaves number windows in order."""
+        low, high = self.nodes(self.depth)
+        first = np.repeat(self.order[low], high - low - 1)
+        later = np.concatenate([self.order[a + 1 : b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]) if len(low) else self.order[:0]
+        return later, first
 
 
 def _ordered(docs: DataFrame) -> DataFrame:
-    """(doc, fp, text): the order of documents, and what tells rows apart."""
+    """(doc_id, doc, fp, text): the order of documents, and what tells rows apart."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"doc_id must be an integer column and is {kind}")
     last = F.lit((1 << 63) - 1)
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc"), F.xxhash64("doc_id", "text").alias("fp"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-
-
-def _places(start, count):
-    """A span as one number: its first window's start and its windows, fewer than 32."""
-    return start * 32 + count
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), last).alias("doc"), F.xxhash64("doc_id", "text").alias("fp"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def _spanned(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    rolling = _rollings()
+    """(anchor, doc, fp, place) of all spans."""
+    rolling = Rolling(_BASE)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        anchor, span, text, start, count = spans(Words(utf8(batch.column("text")), rolling[0]), rolling, window, gram)
+        anchor, text, start, count, away = spans(Words(utf8(batch.column("text")), _SEED), rolling, window, gram)
         index = pa.array(text)
         return pa.RecordBatch.from_arrays(
-            [pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64)), batch.column("doc").take(index), batch.column("fp").take(index), pa.array(_places(start, count), pa.int64())],
-            ["anchor", "span", "doc", "fp", "place"],
+            [pa.array(anchor.view(np.int64)), batch.column("doc").take(index), batch.column("fp").take(index), pa.array(_place(start, count, away), pa.int64())],
+            ["anchor", "doc", "fp", "place"],
         )
 
-    return arrow_map(rows, each, "anchor long, span long, doc long, fp long, place long")
+    return arrow_map(rows.select("doc", "fp", "text"), each, "anchor long, doc long, fp long, place long")
 
 
-def _first_pass(sorted_spans: DataFrame, crowd: int) -> DataFrame:
-    """Streams each partition's sorted spans: (doc, fp, place, anchor, path) with path 0 for spans that start earlier, 1 for
-    those that go to a subtree, 2 for those that get the whole window as prefix."""
-    names = ["doc", "fp", "place", "anchor", "path"]
+def _several(sorted_spans: DataFrame) -> DataFrame:
+    """The rows whose anchor the row before or after has too, once each. A partition's first and last rows stay, as the
+    anchor may go on in the next one."""
+    names = ["anchor", "doc", "fp", "place"]
 
-    def emit(cols: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in cols[:4]), pa.array(cols[4].astype(np.int32))], names)
+    def run(batches):
+        held, joined, again = None, True, False  # the last row, whether the one before has its anchor, or is the same row
+        for whole in batches:
+            for batch in slices(whole):
+                cols = [np.asarray(batch.column(c)) for c in names]
+                if held is not None:
+                    cols = [np.append(h, c) for h, c in zip(held, cols, strict=True)]
+                same = cols[0][1:] == cols[0][:-1]
+                row = same.copy()
+                for c in cols[1:]:
+                    row &= c[1:] == c[:-1]
+                before, repeated = np.append(joined, same), np.append(again, row)
+                keep = np.flatnonzero((before[:-1] | same) & ~repeated[:-1])
+                if len(keep):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names)
+                held, joined, again = [c[-1:] for c in cols], before[-1], repeated[-1]
+        if held is not None and not again:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names)
+
+    return sorted_spans.mapInArrow(run, "anchor long, doc long, fp long, place long")
+
+
+_LEAF = "key long, doc long, fp long, place long, words binary"
+
+
+class _Leaves:
+    """Leaves of a task's partial trees: of those with equal words and anchor the first place stays, others are later."""
+
+    def __init__(self):
+        self.first: dict[tuple[bytes, int], tuple[int, int, int, int]] = {}  # -> doc, fp, place, key
+        self.later: list[tuple[int, int, int]] = []
+        self.bytes = 0
+
+    def add(self, words: bytes, doc: int, fp: int, place: int, key: int) -> None:
+        name, own = (words, place & 1023), (doc, fp, place, key)
+        known = self.first.get(name)
+        if known is None:
+            self.first[name] = own
+            self.bytes += len(words) + 300
+        elif known[:3] != own[:3]:
+            self.first[name] = min(known, own)
+            self.later.append(max(known, own)[:3])
+
+    def full(self) -> bool:
+        return self.bytes + 100 * len(self.later) > HELD
+
+    def flush(self) -> pa.RecordBatch:
+        own, n = [*self.first.values(), *((*x, None) for x in self.later)], len(self.later)
+        cols = [pa.array([x[i] for x in own], pa.int64()) for i in (3, 0, 1, 2)]
+        words = pa.array([w for w, _ in self.first] + [None] * n, pa.binary())
+        self.__init__()
+        return pa.RecordBatch.from_arrays([*cols, words], ["key", "doc", "fp", "place", "words"])
+
+
+def _span_leaves(rows: DataFrame, window: int) -> DataFrame:
+    """Leaves (key, doc, fp, place, words) of the spans listed with each text; words are null for those that start later."""
 
     def run(batches):
-        at_start = True  # the partition's first anchor has not ended yet
-        held: list[list[np.ndarray]] = []  # first spans of the open anchor
-        held_rows, crowded = 0, False
-        last: tuple | None = None  # (anchor, span, doc, fp, place) of the row before
+        leaves = _Leaves()
         for whole in batches:
             for batch in slices(whole):
-                anchor, span, doc, fp, place = (np.asarray(batch.column(c)) for c in ("anchor", "span", "doc", "fp", "place"))
-                n = len(anchor)
-                new_anchor, new_span, same_row = np.empty(n, bool), np.empty(n, bool), np.empty(n, bool)
-                new_anchor[1:] = anchor[1:] != anchor[:-1]
-                new_span[1:] = new_anchor[1:] | (span[1:] != span[:-1])
-                same_row[1:] = ~new_span[1:] & (doc[1:] == doc[:-1]) & (fp[1:] == fp[:-1]) & (place[1:] == place[:-1])
-                new_anchor[0] = last is None or anchor[0] != last[0]
-                new_span[0] = new_anchor[0] or span[0] != last[1]
-                same_row[0] = not new_span[0] and (doc[0], fp[0], place[0]) == last[2:]
-                last = tuple(c[-1] for c in (anchor, span, doc, fp, place))
-                # A row that is repeated as it is counts as the document that it repeats: it has that one's place.
-                again = ~new_span & ~same_row
-                if again.any():
-                    yield emit([doc[again], fp[again], place[again], anchor[again], np.zeros(again.sum())])
-                first = np.flatnonzero(new_span)
-                opens = np.flatnonzero(new_anchor[first])
-                cuts = [0, *opens.tolist(), len(first)]
-                if cuts[1] > 0:  # more of the open anchor
-                    part = first[: cuts[1]]
-                    held.append([doc[part], fp[part], place[part], anchor[part]])
-                    held_rows += len(part)
-                if not len(opens):
-                    if held_rows > crowd:  # enough to know its path
-                        crowded = True
-                        yield from (emit([*h, np.full(len(h[0]), 2)]) for h in held)
-                        held.clear()
-                        held_rows = crowd + 1
-                    continue
-                # The open anchor ends here.
-                if crowded or at_start or held_rows > crowd:
-                    yield from (emit([*h, np.full(len(h[0]), 2)]) for h in held)
-                elif held_rows > 1:
-                    yield from (emit([*h, np.full(len(h[0]), 1)]) for h in held)
-                if last is not None and (held_rows or crowded):
-                    at_start = False
-                # Anchors that begin and end in this batch.
-                begin, end = opens[:-1], opens[1:]
-                if len(begin):
-                    size = end - begin
-                    path = np.where(size > crowd, 2, np.where(size > 1, 1, -1))
-                    if at_start:
-                        path[0] = 2
-                        at_start = False
-                    rows = np.repeat(path, size)
-                    part = first[opens[0] : opens[-1]]
-                    some = rows > 0
-                    if some.any():
-                        part = part[some]
-                        yield emit([doc[part], fp[part], place[part], anchor[part], rows[some]])
-                part = first[opens[-1] :]
-                held, held_rows, crowded = [[doc[part], fp[part], place[part], anchor[part]]], len(part), False
-        # The last anchor may go on in the next partition.
-        yield from (emit([*h, np.full(len(h[0]), 2)]) for h in held)
-
-    return sorted_spans.mapInArrow(run, "doc long, fp long, place long, anchor long, path int")
-
-
-def _once(batches, names=("doc", "fp")):
-    """Slices of the batches, without rows whose keys the task has seen: rows that are repeated as they are."""
-    seen: set[tuple] = set()
-    for whole in batches:
-        for batch in slices(whole):
-            keys = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
-            fresh = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
-            if fresh:
-                yield batch.take(pa.array(fresh))
-
-
-def _span_texts(rows: DataFrame, window: int) -> DataFrame:
-    """(anchor, doc, fp, start, words) of the spans listed with each text."""
+                words = Words(utf8(batch.column("text")))
+                sizes = np.append(0, np.cumsum(words.end - words.start))
+                plain = words.data.translate(_PLAIN)
+                for i, (doc, fp, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc", "fp", "spans")), strict=True)):
+                    for s in own:
+                        place = s["place"]
+                        a = words.first[i] + (place >> 20)
+                        b = a + (place >> 10 & 1023) + window - 1
+                        low, high = words.start[a], words.end[b - 1]
+                        text = plain[low:high]
+                        if high - low != sizes[b] - sizes[a] + b - a - 1:  # some gap is longer than a blank
+                            text = b" ".join(text.split())
+                        leaves.add(text, doc, fp, place, s["anchor"])
+                    if leaves.full():
+                        yield leaves.flush()
+        yield leaves.flush()
+
+    # doc_id is not used here; with it the exchange of rows is the one that the last join has.
+    return rows.select("doc_id", "doc", "fp", "text", "spans").mapInArrow(run, _LEAF)
+
+
+def _longer(rows: DataFrame, window: int, length: int) -> DataFrame:
+    """The leaves' windows, each by the first ``length`` symbols of its suffix."""
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = Words(utf8(batch.column("text")), None)
-        out: list[list] = [[], [], [], [], []]
-        for i, (doc, fp, own) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("fp").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
-            for s in own:
-                start, count = divmod(s["place"], 32)
-                a = words.first[i] + start
-                b = a + count + window - 1
-                text = b" ".join(words.data[x:y] for x, y in zip(words.start[a:b].tolist(), words.end[a:b].tolist(), strict=True))
-                for c, x in zip(out, (s["anchor"], doc, fp, start, text), strict=True):
-                    c.append(x)
-        kinds = [pa.int64()] * 4 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["anchor", "doc", "fp", "start", "words"])
-
-    return rows.select("doc", "fp", "text", "spans").mapInArrow(lambda batches: map(each, _once(batches)), "anchor long, doc long, fp long, start long, words binary")
+    def run(batches):
+        leaves = _Leaves()
+        for whole in batches:
+            for batch in slices(whole):
+                for doc, fp, place, words in zip(*(batch.column(c).to_pylist() for c in ("doc", "fp", "place", "words")), strict=True):
+                    own, start, away = words.split(b" "), place >> 20, place & 1023
+                    for i in range(len(own) - window + 1):
+                        w, o = own[i : i + window], away - i
+                        suffix = [*w[o:], b"", *w[:o][::-1]]
+                        key = hashlib.blake2b(b" ".join(suffix[:length]), digest_size=8).digest()
+                        leaves.add(b" ".join(w), doc, fp, _place(start + i, 1, o), int.from_bytes(key, "little", signed=True))
+                    if leaves.full():
+                        yield leaves.flush()
+        yield leaves.flush()
+
+    return rows.select("doc", "fp", "place", "words").mapInArrow(run, _LEAF)
 
 
 def _bin(table: pa.Table, window: int) -> pa.Table:
     """One bin's subtrees: the places of windows that start earlier."""
-    doc, fp, start = (np.asarray(table[c].combine_chunks()) for c in ("doc", "fp", "start"))
-    order = np.lexsort((start, fp, doc))
-    same = (doc[order][1:] == doc[order][:-1]) & (fp[order][1:] == fp[order][:-1]) & (start[order][1:] == start[order][:-1])
-    order = order[np.append(True, ~same)]  # a span that repeated rows have sent twice
+    doc, fp, place = (np.asarray(table[c].combine_chunks()) for c in ("doc", "fp", "place"))
+    order = np.lexsort((place, fp, doc))
     texts = table["words"].to_pylist()
-    tree = Subtree([texts[i] for i in order], window)
-    text, at = tree.later(window)
-    rows = order[text]
-    return pa.table({"doc": doc[rows], "fp": fp[rows], "place": _places(start[rows] + at, 1)})
-
-
-def _long(rows: DataFrame, window: int) -> DataFrame:
-    """(doc, fp, place) of the windows of listed spans that start earlier: by the whole window's 128-bit hash."""
-    rolling = _rollings()
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = Words(utf8(batch.column("text")), rolling[0])
-        one, two = rolling[1].prefix(words.hash), rolling[2].prefix(words.hash)
-        own = batch.column("spans").to_pylist()
-        text = np.repeat(np.arange(len(own)), [sum(p % 32 for p in x) for x in own])
-        start = np.array([s for x in own for p in x for s in range(p // 32, p // 32 + p % 32)], np.int64)
-        at = words.first[text] + start if len(text) else start
-        index = pa.array(text.astype(np.int64))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(rolling[1].ranges(one, at, at + window).view(np.int64)), pa.array(rolling[2].ranges(two, at, at + window).view(np.int64)), batch.column("doc").take(index), batch.column("fp").take(index), pa.array(start)],
-            ["w1", "w2", "doc", "fp", "start"],
-        )
-
-    found = rows.select("doc", "fp", "text", "spans").mapInArrow(lambda batches: map(each, _once(batches)), "w1 long, w2 long, doc long, fp long, start long")
-    first = found.groupBy("w1", "w2").agg(F.min(F.struct("doc", "fp", "start")).alias("first"))
-    return found.join(first, ["w1", "w2"]).where(F.struct("doc", "fp", "start") > F.col("first")).select("doc", "fp", _places(F.col("start"), 1).alias("place"))
+    tree = Subtree([texts[i] for i in order], place[order] & 1023, window)
+    row = order[tree.text]
+    doc, fp, start = doc[row], fp[row], (place[row] >> 20) + tree.start
+    later, first = tree.repeats()
+    apart = (doc[later] != doc[first]) | (fp[later] != fp[first]) | (start[later] != start[first])  # else a row sent twice
+    later = later[apart]
+    return pa.table({"doc": doc[later], "fp": fp[later], "place": _place(start[later], 1, 0)})
 
 
 def _kept(rows: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of texts with the places to remove."""
+    """doc_id, n_words, n_removed, kept_sha256, removed_spans of texts with the places to remove."""
     kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "removed_spans"]
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = Words(utf8(batch.column("text")), None)
-        total, removed, digest = [], [], []
+        words = Words(utf8(batch.column("text")))
+        total, removed, digest, runs = [], [], [], []
         for i, (a, b) in enumerate(zip(words.first.tolist(), words.last.tolist(), strict=True)):
-            begin, end = words.start[a:b], words.end[a:b]
-            own = [x for c in ("known", "found") if (x := batch.column(c)[i].as_py())]
-            if own:
-                places = np.concatenate([np.array(x, np.int64) for x in own])
+            begin, end, spans_of = words.start[a:b], words.end[a:b], ""
+            if own := batch.column("places")[i].as_py():
+                places = np.array(own, np.int64)
                 cover = np.zeros(b - a + 1, np.int64)
-                np.add.at(cover, places // 32, 1)
-                np.add.at(cover, places // 32 + places % 32 + window - 1, -1)
-                keep = np.cumsum(cover)[:-1] == 0
-                begin, end = begin[keep], end[keep]
+                np.add.at(cover, places >> 20, 1)
+                np.add.at(cover, (places >> 20) + (places >> 10 & 1023) + window - 1, -1)
+                gone = np.cumsum(cover) > 0  # the last is False
+                edge = np.diff(np.append(False, gone).astype(np.int8))
+                spans_of = ",".join(f"{x}-{y}" for x, y in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+                begin, end = begin[~gone[:-1]], end[~gone[:-1]]
             total.append(b - a)
             removed.append(b - a - len(begin))
             digest.append(hashlib.sha256(b" ".join([words.data[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)])).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            runs.append(spans_of)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(runs, pa.string())], names)
+
+    return arrow_map(rows.select("doc_id", "text", "places"), each, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, removed_spans string")
+
 
-    return arrow_map(rows.select("doc_id", "text", "known", "found"), each, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it was counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD, bin_spans: int = BIN) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(texts, known, found): the rows as (doc, fp, text, null), and by (doc, fp) the arrays of places that start earlier."""
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD, bin_windows: int = BIN) -> tuple[DataFrame, DataFrame]:
+    """(rows, found): the rows as (doc_id, doc, fp, text), and by (doc, fp) the places of windows that start earlier."""
+    if not 0 < gram <= window <= 1000:
+        raise ValueError("0 < gram <= window <= 1000 must hold")
     rows = _ordered(docs)
-    keys = ["anchor", "span", "doc", "fp", "place"]
+    keys = ["anchor", "doc", "fp", "place"]
     dealt = _spanned(rows, window, gram).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    path = lambda k, x: F.collect_list(F.when(F.col("path") == k, x))
-    firsts = _first_pass(dealt, crowd).groupBy("doc", "fp").agg(path(0, F.col("place")).alias("known"), path(1, F.struct("place", "anchor")).alias("trees"), path(2, F.col("place")).alias("long"))
-    firsts = saved(firsts)
-    total = firsts.agg(F.sum(F.size("trees"))).first()[0] or 0
-    bins = max(1, ceil(total / bin_spans))
-    texts = rows  # its exchange by (doc, fp) is made once and used by all three joins
-    once = texts.join(firsts.where(F.size("trees") > 0).select("doc", "fp", F.col("trees").alias("spans")), ["doc", "fp"])
-    trees = _span_texts(once, window).groupBy(F.pmod(F.xxhash64("anchor"), F.lit(bins)).alias("bin")).applyInArrow(lambda t: _bin(t, window), "doc long, fp long, place long")
-    long = _long(texts.join(firsts.where(F.size("long") > 0).select("doc", "fp", F.col("long").alias("spans")), ["doc", "fp"]), window)
-    found = trees.union(long).groupBy("doc", "fp").agg(F.collect_list("place").alias("found"))
-    return rows, firsts.where(F.size("known") > 0).select("doc", "fp", "known"), found
+    candidates = _several(dealt).groupBy("doc", "fp").agg(F.collect_list(F.struct("place", "anchor")).alias("spans"))
+    # The exchange of rows by (doc, fp) is made once and used by this join and the last.
+    leaves = saved(_span_leaves(rows.join(candidates, ["doc", "fp"]), window))
+    later, pending, trees, length = [leaves.where("words IS NULL")], leaves.where("words IS NOT NULL"), [], gram
+    number = F.sum(F.shiftright("place", 10).bitwiseAND(F.lit(1023)))
+    while True:
+        crowded = saved(pending.groupBy("key").agg(number.alias("n")).where(F.col("n") > crowd).select("key"))
+        if length > window or not crowded.take(1):
+            trees.append(pending)
+            break
+        heavy = _few(crowded)
+        trees.append(pending.join(heavy, "key", "left_anti"))
+        length = window + 1 if 2 * length > window else 2 * length
+        longer = saved(_longer(pending.join(heavy, "key", "left_semi"), window, length))
+        later.append(longer.where("words IS NULL"))
+        pending = longer.where("words IS NOT NULL")
+    grouped = trees[0]
+    for t in trees[1:]:
+        grouped = grouped.unionByName(t)
+    bins = max(1, ceil((grouped.agg(number).first()[0] or 0) / bin_windows))
+    dealt = grouped.select(F.pmod(F.xxhash64("key"), F.lit(bins)).alias("bin"), "doc", "fp", "place", "words")
+    found = dealt.groupBy("bin").applyInArrow(lambda t: _bin(t, window), "doc long, fp long, place long")
+    for x in later:
+        found = found.unionByName(x.select("doc", "fp", "place"))
+    return rows, found.groupBy("doc", "fp").agg(F.collect_list("place").alias("places"))
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of each document."""
-    docs = docs.select("doc_id", "text")
-    rows, known, found = repeats(docs, **options)
-    window = options.get("window", WINDOW)
-    joined = rows.join(known, ["doc", "fp"], "left").join(found, ["doc", "fp"], "left")
-    kind = docs.schema["doc_id"].dataType
-    doc_id = F.when(F.col("doc") != (1 << 63) - 1, F.col("doc")).cast(kind)
-    return _kept(joined.select(doc_id.alias("doc_id"), "text", "known", "found"), window)
+    """doc_id, n_words, n_removed, kept_sha256 and removed_spans (word ranges, the end excluded) of each document."""
+    rows, found = repeats(docs.select("doc_id", "text"), **options)
+    return _kept(rows.join(found, ["doc", "fp"], "left"), options.get("window", WINDOW))
