@@ -29,6 +29,8 @@ FEATURES = (
 SHRINKAGE = 0.2
 CLIP = 6.0
 THRESHOLD = 0.7
+#: Labels that may be broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _UPPER, _DIGIT, _SYMBOL, _SHOUT, _HIGH, _STOP = 1, 2, 3, 4, 5, 6
 _KIND = np.zeros(256, np.uint8)
@@ -167,11 +169,15 @@ def held_out(id_col: str, modulus: int, rest: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(modulus)) == rest
 
 
-def fit(features: DataFrame, labels: DataFrame, label_col: str, out: Column, shrinkage: float = SHRINKAGE) -> Discriminant:
+def known_labels(labels: DataFrame, label_col: str) -> DataFrame:
+    """(doc_id, y) of label 0 or 1, the largest of a doc_id's; to be broadcast if they were counted to be few."""
+    known = saved(labels.where(F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.max(label_col).alias("y")))
+    return F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+
+
+def fit(features: DataFrame, known: DataFrame, out: Column, shrinkage: float = SHRINKAGE) -> Discriminant:
     """From the statistics of documents and labels by doc_id; rows for which ``out`` holds don't train."""
-    known = labels.where(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).alias("y"))
-    train = features.where(~out).join(known, "doc_id")
-    return Discriminant.fit(*moments(train, F.col("y")), shrinkage)
+    return Discriminant.fit(*moments(features.where(~out).join(known, "doc_id"), F.col("y")), shrinkage)
 
 
 def scored(features: DataFrame, model: Discriminant, *keep: str) -> DataFrame:
@@ -188,22 +194,20 @@ def scored(features: DataFrame, model: Discriminant, *keep: str) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 4, rest: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each document; rows whose crc32(doc_id) mod ``modulus`` is ``rest`` don't train."""
-    features = saved(document_statistics(docs))
+    features = saved(document_statistics(docs))  # for the fit and for the scores
     out = held_out("doc_id", modulus, rest)
-    model = fit(features, labels, label_col, out)
+    model = fit(features, known_labels(labels, label_col), out)
     return scored(features, model, "doc_id").select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def filtered(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 4, rest: int = 2, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all their columns, that the classifier accepts. The text is scanned again rather than shuffled."""
-    features = saved(document_statistics(docs))
-    model = fit(features, labels, label_col, held_out("doc_id", modulus, rest))
-    names = docs.columns
+    """The rows of docs, all their columns, that the classifier accepts. The texts are read twice rather than shuffled."""
+    out, known = held_out("doc_id", modulus, rest), known_labels(labels, label_col)
+    # Only labelled documents' statistics are needed for the fit.
+    model = fit(document_statistics(docs.where(~out).join(known.select("doc_id"), "doc_id", "left_semi")), known, out)
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x = np.array([statistics(t) for t in utf8(batch.column("text"))])
-                yield batch.filter(pa.array(model.score(x) >= threshold))
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.array([statistics(t) for t in utf8(batch.column("text"))])
+        return batch.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return arrow_map(docs, each, docs.schema)

@@ -3,15 +3,15 @@
 Texts are cut into words (``\\w+`` of the lower-cased text). A benchmark item's runs of ``least`` words are seeds; a
 document that shares seeds with an item is a candidate pair if the item's words under shared seeds could reach the
 threshold at all. On candidates greedy string tiling runs: the longest common runs of unmarked words are found by running
-Karp-Rabin (window hashes at a search length that falls from the longest match to ``least``, each hit checked word by word and
-extended), marked and never used again. The share of the item's words under tiles is its coverage; since tiles may lie
-anywhere, passages put in another order are caught.
+Karp-Rabin (window hashes at a search length that falls from the longest match to ``least``, each hit checked word by word),
+marked and never used again. The share of the item's words under tiles is its coverage; since tiles may lie anywhere,
+passages put in another order are caught.
 
 The benchmark is the stated query set: it goes to the tasks in blocks of at most ``BLOCK_BYTES`` of text (a single longer
 item is a block), each held against all documents, so nothing grows with the documents and no row is shuffled.
 
-Defined cases: null and empty texts match nothing; an item of fewer than ``least`` words has no seeds and is never found;
-equal items are found each; rows with null ids are kept as such; empty tables give no rows; other columns are not read.
+Defined cases: null and empty texts match nothing; an item of fewer than ``least`` words is found where all of its words stand in
+a row, one without words never; equal items are found each; rows with null ids are kept as such; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,97 +47,109 @@ def _windows(tokens: np.ndarray, free: np.ndarray, size: int, rolling: Rolling)
     return starts, rolling.ranges(prefix, starts, starts + size)
 
 
+def _longest(text: np.ndarray, item: np.ndarray, free_text: np.ndarray, free_item: np.ndarray, least: int, most: int, rolling: Rolling) -> int:
+    """The longest length from least to most at which some windows of unmarked words have equal hashes, 0 if there is none."""
+    low, high = least - 1, most
+    while low < high:
+        size = (low + high + 1) // 2
+        _, found = _windows(text, free_text, size, rolling)
+        _, wanted = _windows(item, free_item, size, rolling)
+        if np.isin(wanted, found).any():
+            low = size
+        else:
+            high = size - 1
+    return low if low >= least else 0
+
+
 def tile(text: np.ndarray, item: np.ndarray, least: int = LEAST, rolling: Rolling | None = None) -> list[tuple[int, int, int]]:
     """Greedy tiles (start in text, start in item, words) of two sequences of word numbers; negative numbers match nothing.
 
-    Of equally long matches the earlier in the text goes first, then the earlier in the item.
+    The search length falls from the longest match to ``least``, by bisection over running hashes. At each length all matches are as
+    long as that; of those the earlier in the text goes first, then the earlier in the item. Marked windows of the item are
+    passed once, so a length costs what the sequences are long, however often their words repeat.
     """
     rolling = rolling or Rolling(0x9E3779B97F4A7C15)
     free_text, free_item = text >= 0, item >= 0
     tiles: list[tuple[int, int, int]] = []
-    size = max(least, min(len(item), 4 * least))
-    while True:
+    most = min(len(item), len(text))
+    while size := _longest(text, item, free_text, free_item, least, most, rolling):
         starts, hashes = _windows(item, free_item, size, rolling)
-        table: dict[int, list[int]] = {}
-        for s, h in zip(starts.tolist(), hashes.tolist(), strict=True):
-            table.setdefault(h, []).append(s)
+        places: dict[int, list[int]] = {}
+        for s, h in zip(starts[::-1].tolist(), hashes[::-1].tolist(), strict=True):
+            places.setdefault(h, []).append(s)  # the earliest is last
         at, found = _windows(text, free_text, size, rolling)
-        hit = np.isin(found, hashes)
-        matches = []
+        hit, end = np.isin(found, hashes), 0
         for a, h in zip(at[hit].tolist(), found[hit].tolist(), strict=True):
-            for b in table[h]:
-                n, most = 0, min(len(text) - a, len(item) - b)
-                while n < most and free_text[a + n] and free_item[b + n] and text[a + n] == item[b + n]:
-                    n += 1
-                if n >= size:
-                    matches.append((-n, a, b))
-        longest = -min(matches)[0] if matches else 0
-        if longest > 2 * size:
-            size = longest
-            continue
-        marked = False
-        for n, a, b in sorted(matches):
-            n = -n
-            if free_text[a : a + n].all() and free_item[b : b + n].all():
-                free_text[a : a + n] = free_item[b : b + n] = False
-                tiles.append((a, b, n))
-                marked = True
-        if not marked:
-            if size == least:
-                return tiles
-            size = max(least, size // 2)
+            if a < end:  # inside the tile before
+                continue
+            own, passed = places[h], []
+            while own:
+                b = own.pop()
+                if not free_item[b : b + size].all():
+                    continue
+                if np.array_equal(text[a : a + size], item[b : b + size]):
+                    free_text[a : a + size] = free_item[b : b + size] = False
+                    tiles.append((a, b, size))
+                    end = a + size
+                    break
+                passed.append(b)  # other words of the same hash
+            own += passed[::-1]
+        most = size - 1
+    return tiles
 
 
 class Seeds:
-    """The runs of ``least`` words of a block of items."""
+    """The runs of ``least`` words of a block of items; a shorter item is one run of all its words."""
 
     def __init__(self, items: list[tuple[object, str]], least: int, coverage: float):
-        self.least, self.coverage = least, coverage
+        self.coverage = coverage
         self.ids = [i for i, _ in items]
         words = [words_of(t) for _, t in items]
         self.vocabulary = {w: n for n, w in enumerate(sorted(set().union(*words)))} if words else {}
         self.items = [np.array([self.vocabulary[w] for w in own], np.int64) for own in words]
+        self.least = [min(least, len(own)) for own in self.items]
         self.rolling = Rolling(0x9E3779B97F4A7C15)
-        hashes, owners, places = [], [], []
-        for k, own in enumerate(self.items):
-            starts, found = _windows(own, np.ones(len(own), bool), least, self.rolling)
-            hashes.append(found)
-            owners.append(np.full(len(starts), k))
-            places.append(starts)
-        self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes = self.hashes[order]
-        self.owners = np.concatenate(owners)[order] if hashes else np.empty(0, np.int64)
-        self.places = np.concatenate(places)[order] if hashes else np.empty(0, np.int64)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by length: sorted hashes, items, places
+        for size in sorted(set(self.least) - {0}):
+            hashes, owners, places = [], [], []
+            for k, own in enumerate(self.items):
+                if self.least[k] == size:
+                    starts, found = _windows(own, np.ones(len(own), bool), size, self.rolling)
+                    hashes.append(found)
+                    owners.append(np.full(len(starts), k))
+                    places.append(starts)
+            every = np.concatenate(hashes)
+            order = np.argsort(every, kind="stable")
+            self.tables[size] = every[order], np.concatenate(owners)[order], np.concatenate(places)[order]
 
     def find(self, text: str) -> list[tuple[object, float, int, int, list[tuple[int, int, int]]]]:
         """(item id, coverage, covered words, words, tiles) of each item that the text covers."""
-        if not len(self.hashes):
+        if not self.tables:
             return []
         get = self.vocabulary.get
         ids = np.array([get(w, -1) for w in words_of(text)], np.int64)
-        starts, hashes = _windows(ids, ids >= 0, self.least, self.rolling)
-        left, right = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
-        count = right - left
-        if not count.any():
-            return []
-        # The seeds' places in items: for each hit, the range left:right.
-        total = np.repeat(left - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        seeds = np.unique(total)
         out = []
-        owners = self.owners[seeds]
-        for k in np.unique(owners).tolist():
-            item = self.items[k]
-            under = np.zeros(len(item) + 1, np.int64)
-            own = self.places[seeds[owners == k]]
-            np.add.at(under, own, 1)
-            np.add.at(under, own + self.least, -1)
-            if np.count_nonzero(np.cumsum(under)[:-1] > 0) < self.coverage * len(item):
+        for size, (table, owners, places) in self.tables.items():
+            hashes = np.unique(_windows(ids, ids >= 0, size, self.rolling)[1])
+            left, right = np.searchsorted(table, hashes, "left"), np.searchsorted(table, hashes, "right")
+            count = right - left
+            if not count.any():
                 continue
-            tiles = tile(ids, item, self.least, self.rolling)
-            covered = sum(n for _, _, n in tiles)
-            if covered >= self.coverage * len(item):
-                out.append((self.ids[k], covered / len(item), covered, len(item), tiles))
+            # The seeds that the text has: of each hash the range left:right.
+            seeds = np.repeat(left - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            owner = owners[seeds]
+            for k in np.unique(owner).tolist():
+                item = self.items[k]
+                under = np.zeros(len(item) + 1, np.int64)
+                own = places[seeds[owner == k]]
+                np.add.at(under, own, 1)
+                np.add.at(under, own + size, -1)
+                if np.count_nonzero(np.cumsum(under)[:-1] > 0) < self.coverage * len(item):
+                    continue
+                tiles = tile(ids, item, size, self.rolling)
+                covered = sum(n for _, _, n in tiles)
+                if covered >= self.coverage * len(item):
+                    out.append((self.ids[k], covered / len(item), covered, len(item), tiles))
         return out
 
 

@@ -6,7 +6,8 @@ follow from document labels alone (full-batch Adam on the cross entropy of the n
 sentence scores say where the offence is.
 
 The model is fitted on the driver on a bounded sample: of the labelled training rows of at most ``SAMPLE_BYTES`` bytes,
-the ``SAMPLE`` ones of each label with the smallest 64-bit hash of doc_id. Scoring covers every whole text.
+the ``SAMPLE`` ids of each label with the smallest 64-bit hash; of rows that share an id, those with the smallest hash of id and
+text, in that order, up to twice ``SAMPLE`` rows in all. Scoring covers every whole text.
 
 Defined cases: null and empty texts have one empty sentence, hence the bias' score; without training rows of both labels
 scores are the training share of label 1 (0.5 without any rows); several labels of one doc_id count as the largest;
@@ -135,9 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", out: Colum
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.octet_length("text") <= sample_bytes)
     rows = rows.where(~out) if out is not None else rows
     texts, ys = [], []
-    chosen = [known.where(F.col("y") == y).join(rows.select("doc_id"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
-    ids = chosen[0].union(chosen[1]).dropDuplicates(["doc_id"])  # at most 2 * sample rows
-    for text, y in rows.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(2 * sample).select("text", "y").toLocalIterator():
+    chosen = [known.where(F.col("y") == y).join(rows.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
+    ids = chosen[0].union(chosen[1])  # at most 2 * sample rows
+    for text, y in rows.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(2 * sample).select("text", "y").toLocalIterator():
         texts.append(text)
         ys.append(int(y))
     return train(texts, ys)

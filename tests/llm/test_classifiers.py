@@ -1,8 +1,12 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from gridloom.llm import quality, toxicity
 
@@ -85,3 +89,94 @@ def test_toxicity_edges(spark, edge_docs, no_docs):
     assert len(got) == edge_docs.count() and all(0 <= r.score <= 1 for r in got)
     assert toxicity.classify(no_docs, labels).count() == 0
     assert {r.score for r in toxicity.classify(edge_docs, labels.limit(0)).collect()} == {0.5}
+
+
+def plain_statistics(text):
+    """The 14 statistics, a character at a time."""
+    data = text.encode()
+    words = [w for w in re.split(rb"[ \t\n\r\v\f]+", data) if w]
+    n, size, letters = len(words), len(data), sum(len(w) for w in words)
+    share = lambda chars: math.sqrt(sum(chr(c) in chars for c in data if c < 128) / (size + 100))
+    lines = [x for x in data.split(b"\n") if x]
+    distinct = set(words)
+    top = max((words.count(w) for w in distinct), default=1) if n < 3000 else max(Counter(words).values())
+    return [
+        math.log(n + 30), math.log((letters + 100) / (n + 20)), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789"), share("#$%&*+/<=>@[\\]^_`{|}~"), share("!?"),
+        math.sqrt(sum(c > 127 for c in data) / (size + 100)), math.log((len(distinct) + 20) / (n + 20)), math.sqrt(sum(a == b for a, b in zip(words, words[1:])) / (n + 20)),
+        math.sqrt((len(lines) - len(set(lines))) / (len(lines) + 5)), math.log((len(zlib.compress(data, 1)[2:-4]) + 6 + 40) / (size + 100)), math.sqrt((top - 1) / (n + 20)), share(".,;:"),
+        math.sqrt(sum(chr(w[-1]) in "#$%&*+/<=>@[\\]^_`{|}~!" for w in distinct) / (len(distinct) + 20)),
+    ]
+
+
+def test_quality_against_a_plain_version(spark):
+    """Every score of a whole table: statistics, fit and densities made without the operator's code."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    x = {r.doc_id: np.array(plain_statistics(r.text or "")) for r in docs.collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    train = [[x[d] for d, label in y.items() if label == c and d in x and not held(d, 4, 2)] for c in (0, 1)]
+    both = np.array(train[0] + train[1])
+    centre, scale = both.mean(0), both.std(0)
+    margin = {d: math.log(len(train[1]) / len(train[0])) for d in x}
+    for c, sign in ((0, -1), (1, 1)):
+        z = (np.array(train[c]) - centre) / scale
+        cov = np.cov(z.T, bias=True)
+        cov = (1 - quality.SHRINKAGE) * cov + quality.SHRINKAGE * np.trace(cov) / len(cov) * np.eye(len(cov))
+        for d, v in x.items():
+            away = np.clip((v - centre) / scale, -quality.CLIP, quality.CLIP) - z.mean(0)
+            margin[d] -= sign * 0.5 * (away @ np.linalg.solve(cov, away) + np.linalg.slogdet(cov)[1])
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    assert set(got) == set(x)
+    for d, m in margin.items():
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-m)) if m > -500 else 0.0, abs=1e-6)
+    kept = {r.doc_id for r in quality.filtered(docs, labels).collect()}
+    assert kept == {d for d, s in got.items() if s >= 0.7}
+
+
+def test_toxicity_against_a_plain_version(spark):
+    """Every score of a whole table, with the sample drawn and the sentences scored without the operator's code."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    y = {r.doc_id: r.toxic for r in labels.collect() if r.toxic in (0, 1)}
+    place = lambda *parts: _chained(parts)
+    fit = [d for d in y if d in texts and not held(d, 5, 0) and len(texts[d].encode()) <= toxicity.SAMPLE_BYTES]
+    chosen = [d for c in (0, 1) for d in sorted((d for d in fit if y[d] == c), key=lambda d: (place(d), d))[: toxicity.SAMPLE]]
+    chosen.sort(key=lambda d: (place(d, texts[d]), d))
+    model = toxicity.train([texts[d] for d in chosen], [y[d] for d in chosen])
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    assert set(got) == set(texts)
+    for d, text in texts.items():
+        clean, offending, n = 1.0, [], 0
+        for s in re.split(r"(?<=[.!?])\s+|\n+", text):
+            if s.strip() or (not text.strip() and n == 0):
+                z = toxicity.BIAS
+                for w in set(re.findall(r"\w+", s.lower())):
+                    z += round(1024 * sum(model.weights.get(f, 0.0) for f in [w] + [w[:k] + "-" for k in (4, 5) if len(w) > k])) / 1024
+                p = 1 / (1 + math.exp(-max(-60, min(60, z))))
+                clean *= 1 - p
+                if p >= toxicity.OFFENDS:
+                    offending.append(n)
+                n += 1
+        assert got[d].score == pytest.approx(1 - clean, abs=1e-9) and got[d].offending == offending and got[d].n_sentences == max(n, 1)
+
+
+def _chained(parts):
+    """Spark's 64-bit hash of a number, or of a number and a text."""
+    seed = 42
+    for x in parts:
+        seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else (x % (1 << 64)).to_bytes(8, "little"), seed=seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def test_sample_of_repeated_ids_is_fair(spark):
+    """Rows that share ids fill the sample; no id is left out for being large."""
+    rows = [(d, f"text {k} of {d} " + ("rotten" if d % 2 else "fine")) for d in range(20) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(20)], "doc_id long, toxic int")
+    seen = []
+    own = toxicity.train
+    try:
+        toxicity.train = lambda texts, ys: seen.extend(texts) or own(texts, ys)
+        toxicity.fit(docs, labels, sample=10)
+    finally:
+        toxicity.train = own
+    assert len(seen) == 20 and len({t.split()[3] for t in seen}) > 8 and max(int(t.split()[3]) for t in seen) > 14

@@ -35,6 +35,24 @@ def test_tiles_cover_like_the_definition():
         assert all(text[a : a + n] == item[b : b + n] for a, b, n in got)
 
 
+def test_repeated_words_cost_what_they_are_long():
+    import time
+
+    began = time.time()
+    assert tiling.tile(np.zeros(20_000, np.int64), np.zeros(500, np.int64)) == [(0, 0, 500)]
+    runs = np.array(([0] * 7 + [1] + [-1]) * 2500)
+    tiles = tiling.tile(runs, np.array([0] * 250 + [1] + [0] * 249))
+    assert sum(t[2] for t in tiles) >= 490 and time.time() - began < 2
+    seeds = tiling.Seeds([(1, "x " * 500), (2, "y z")], 5, 0.5)
+    assert [f[:4] for f in seeds.find("x " * 20_000)] == [(1, 1.0, 500, 500)] and time.time() - began < 3
+
+
+def test_short_items_are_found_whole():
+    seeds = tiling.Seeds([(1, "one two"), (2, "one three"), (3, ""), (4, "a b c d e f")], 5, 0.5)
+    assert {f[0] for f in seeds.find("x one TWO y three a b c d e")} == {1, 4}
+    assert seeds.find("two one") == [] and seeds.find("") == []
+
+
 def items(spark, rows):
     return spark.createDataFrame([(i, t, "q") for i, t in rows], "item_id long, text string, tiles string")
 
