@@ -19,7 +19,8 @@ from gridloom.llm.common import near_square, numbered
 
 ROUNDS = 4
 #: Steps of a cycle walk. A walk from inside 0..n-1 meets each of the a*b-n < a outside values at most once, so 64 steps
-#: suffice for n <= 4096; above, an outside value follows with chance under 1/64 at each step, 2**-384 for all of them.
+#: suffice for n <= 4096; above, an outside value follows with chance under 1/64 at each step, 2**-384 for all of them. A walk
+#: that is longer still raises an error.
 WALK = 64
 
 
@@ -41,9 +42,17 @@ def permuted(x: Column, n: int, key: int) -> Column:
     """The place 0..n-1 of the row number x."""
     a, b = near_square(n)
     once = _network(x, key, a, b)
-    steps = F.sequence(F.lit(1), F.lit(WALK))
-    walked = F.aggregate(steps, once, lambda y, _: F.when(y < n, y).otherwise(_network(y, key, a, b)))
-    return F.when(F.lit(a * b == n), once).otherwise(walked)
+    if a * b == n:
+        return once
+    step = lambda y, _: F.when(y < n, y).otherwise(_network(y, key, a, b))
+    lost = F.raise_error(F.format_string("the walk from %d is longer than %d", x, F.lit(WALK))).cast("long")
+
+    def walk(y: Column) -> Column:
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), y, step)
+        return F.transform(F.array(end), lambda z: F.when(z < n, z).otherwise(lost))[0]
+
+    # Few numbers leave the range at all; only these walk.
+    return F.transform(F.array(once), lambda y: F.when(y < n, y).otherwise(walk(y)))[0]
 
 
 def _hash(*values: int) -> int:
