@@ -61,6 +61,9 @@ class Rounds:
         self.n += 1
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n - 1}")
 
+    def drop(self) -> None:
+        remove(self.spark, self.folder)
+
 
 def bounded_batches(spark: SparkSession) -> None:
     """Lower the session's bounds of an Arrow batch to BATCH_ROWS and 8 * BATCH_BYTES; lower ones stay.

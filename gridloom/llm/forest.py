@@ -12,7 +12,7 @@ Adaptive prefix. Candidates begin at the full depth: classes linked there are jo
 pair that sizes allow is verified exactly. A link of similarity s shares a prefix of d in some tree with chance
 p(s, d) = 1 - (1 - s^d)^TREES, so links that were found tell how many were not: found / sum(1 / p) is the recall. While it is below the
 target, the prefix is shortened, to the longest depth at which these links promise the target, and at most to the depth
-that meets it for pairs right at the threshold (``depth``).
+that meets it for pairs right at the threshold (``depth``). Only components that a shorter prefix joins are verified anew.
 
 Verification. Nothing emits pairs of a group. A component's classes are dealt to cells of a bounded number of set elements: a small
 component is one cell; a large one is cut into chunks by set size and hash, and a cell holds two chunks, of equal or neighbouring
@@ -163,8 +163,8 @@ def signed(docs: DataFrame, shingle: int = SHINGLE, trees: int = TREES) -> DataF
 
 
 def forest_links(labels: DataFrame, shortest: int) -> DataFrame:
-    """(a, b, level) from (key, tree, label): links of classes whose labels in some tree share ``level`` values, ``shortest`` at
-    least. Those of level >= d connect the classes that share a prefix of d, for each d from ``shortest``."""
+    """(a, b, level) from (key, tree, label), repeated ones too: links of classes whose labels in some tree share ``level`` values,
+    ``shortest`` at least. Those of level >= d connect the classes that share a prefix of d, for each d from ``shortest``."""
     keys = ["tree", "label", "key"]
     dealt = labels.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
@@ -205,8 +205,7 @@ def forest_links(labels: DataFrame, shortest: int) -> DataFrame:
     ends = out.where("b IS NULL").select("tree", "label", "a", *[F.lag(c).over(order).alias(f"_{c}") for c in ("tree", "label", "a")])
     same = F.length(F.regexp_extract(F.lpad(F.hex(F.col("label").bitwiseXOR(F.col("_label"))), 16, "0"), "^(00)*", 0)) / 2
     ends = ends.where((F.col("tree") == F.col("_tree")) & (F.col("a") != F.col("_a"))).select(F.col("_a").alias("a"), F.col("a").alias("b"), same.cast("int").alias("level")).where(F.col("level") >= shortest)
-    links = out.where("b IS NOT NULL").select("a", "b", "level").unionByName(ends)
-    return links.groupBy("a", "b").agg(F.max("level").alias("level"))
+    return out.where("b IS NOT NULL").select("a", "b", "level").unionByName(ends)
 
 
 _LINK = ["a", "b", "level", "tree", "label"]
@@ -222,34 +221,28 @@ MOST_ROUNDS = 200
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the connected components of edges (a, b); root is the least node. Large-star and small-star in turn, each a
-    grouped minimum and a join, until nothing changes.
+    grouped minimum and a join, until all edges are stars.
 
-    Nodes of many edges (hubs) are joined apart, by broadcast: nodes with over ``most`` of n edges are at most 2 * n / most.
+    The minima are written before they are joined: then both sides of a join are plain exchanges, and adaptive execution
+    splits the rows of a node with many edges (a hub) over tasks.
     """
-    rounds = Rounds(edges.sparkSession)
-    edges = rounds.next(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    n, state = edges.count(), None
-
-    def joined(rows: DataFrame, key: str, least: DataFrame, most: int) -> DataFrame:
-        """rows with the ``m`` of their key."""
-        least = least.withColumnRenamed("a", key)
-        hubs = F.broadcast(least.where(F.col("c") > most).drop("c"))
-        rest = rows.join(F.broadcast(least.where(F.col("c") > most).select(key)), key, "left_anti").join(least.where(F.col("c") <= most).drop("c"), key)
-        return rows.join(hubs, key).select("a", "b", "m").union(rest.select("a", "b", "m"))
-
+    spark = edges.sparkSession
+    ends, stars, least = Rounds(spark), Rounds(spark), Rounds(spark)
+    edges = ends.next(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(MOST_ROUNDS):
-        most = max(64, ceil(n / 100_000))
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("c"))
-        large = joined(edges, "b", least, most).select("a", F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("c"))
-        small = joined(large, "a", least, most)
-        small = small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = rounds.next(small.distinct())
-        n, total = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if (n, total) == state:
+        # Done when all edges are stars: each upper end has one edge, and no lower end is an upper one.
+        ends_of = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        nodes = ends_of.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+        if not nodes.agg(F.max((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("least") == 0)))).first()[0]:
+            for done in (stars, least):
+                done.drop()
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        state = (n, total)
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        minima = least.next(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m")))
+        large = stars.next(edges.join(minima, "b").select("a", F.col("m").alias("b")).distinct())
+        minima = least.next(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(minima, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        edges = ends.next(small.where("a <> b").distinct())
     raise RuntimeError(f"components have not settled in {MOST_ROUNDS} rounds")
 
 
@@ -359,22 +352,32 @@ def recalls(verified: DataFrame, now: int, shortest: int, trees: int) -> dict[in
 
 
 def linked(docs: DataFrame, classes: DataFrame, shingle: int, threshold: float, trees: int, recall: float, cell: int) -> tuple[DataFrame, int]:
-    """The verified cells' rows, and the prefix at which the recall was reached. classes: key, n, rep, labels."""
+    """The verified cells' rows, and the prefix at which the recall is reached. classes: key, n, rep, labels."""
     shortest = depth(threshold, trees, recall=recall)
-    labels = classes.select("key", F.posexplode("labels").alias("tree", "label"))
-    links = saved(forest_links(labels, shortest))
-    now, stars = DEEPEST, links.where(F.lit(False)).select("a", "b")
-    while True:
-        # Components so far, as stars, and the links that a shorter prefix adds.
-        found = saved(components(stars.union(links.where(F.col("level") >= now).select("a", "b"))))
-        candidates = found.withColumnsRenamed({"node": "key", "root": "comp"}).join(classes.select("key", "n", F.col("rep.fp").alias("fp")), "key")
-        verified = saved(_verified(docs, saved(_cells(candidates, threshold, cell)), shingle, threshold))
-        said = recalls(verified, now, shortest, trees)
-        # Without links nothing is known of the recall but for pairs at the threshold.
-        then = shortest if said is None else next((d for d, r in said.items() if r >= recall), shortest)
-        if then == now:
-            return verified, now
-        stars, links, now = found.select(F.col("node").alias("a"), F.col("root").alias("b")), links.where(F.col("level") < now), then
+    links = forest_links(classes.select("key", F.posexplode("labels").alias("tree", "label")), shortest)
+    sizes = classes.select("key", "n", F.col("rep.fp").alias("fp"))
+
+    def checked(found: DataFrame) -> DataFrame:
+        """The cells of components (key, comp), verified."""
+        return saved(_verified(docs, saved(_cells(found.join(sizes, "key"), threshold, cell)), shingle, threshold))
+
+    found = saved(components(links.where(F.col("level") >= DEEPEST).select("a", "b"))).withColumnsRenamed({"node": "key", "root": "comp"})
+    verified = checked(found)
+    said = recalls(verified, DEEPEST, shortest, trees)
+    # Without links nothing is known of the recall but for pairs at the threshold.
+    then = shortest if said is None else next((d for d, r in said.items() if r >= recall), shortest)
+    if then == DEEPEST:
+        return verified, then
+    # What the shorter prefix adds: components that are linked now, and classes that were in none.
+    a, b = (found.select(F.col("key").alias(c), F.col("comp").alias(f"_{c}")) for c in "ab")
+    more = links.where(F.col("level").between(then, DEEPEST - 1)).select("a", "b").distinct().join(a, "a", "left").join(b, "b", "left")
+    more = saved(more.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b").distinct())
+    if not more.take(1):
+        return verified, then
+    merged = saved(components(more))
+    alone = merged.select(F.col("node").alias("key"), F.col("node").alias("comp")).join(found, "key", "left_anti")
+    changed = saved(found.union(alone).join(merged.select(F.col("node").alias("comp"), F.col("root").alias("_to")), "comp").select("key", F.col("_to").alias("comp")))
+    return verified.join(changed.select("key"), "key", "left_anti").unionByName(checked(changed)), then
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
