@@ -20,8 +20,8 @@ def norm(v: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    """v over its length; a zero vector stays."""
-    return F.transform(_double(v), lambda x: F.when(norm(v) > 0, x / norm(v)).otherwise(x))
+    """v over its length, which is made once; a zero vector stays."""
+    return F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(_double(v), lambda x: x / n)).otherwise(_double(v)))[0]
 
 
 def euclid(a: Column, b: Column) -> Column:

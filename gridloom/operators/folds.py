@@ -62,10 +62,15 @@ def suppress(df: DataFrame, group: list[str], order: list[Column], rejects: Call
 
     The rows that could reject each other are found by a join; the fold sees only those, as numbers in their group.
     """
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    row, earlier = ranked.alias("a"), ranked.alias("b")
     same = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]
-    pairs = row.join(earlier, [*same, F.col("b._r") < F.col("a._r"), rejects(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))])
+    near = rejects(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
+    return _suppressed(df, group, order, lambda ranked: ranked.alias("a").join(ranked.alias("b"), [*same, F.col("b._r") < F.col("a._r"), near]))
+
+
+def _suppressed(df: DataFrame, group: list[str], order: list[Column], threatened: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with ``kept``; threatened(ranked) joins rows (a) with the earlier ones (b) that could reject them."""
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    pairs = threatened(ranked)
     threats = pairs.groupBy(*[F.col(f"a.{g}") for g in group], F.col("a._r")).agg(F.collect_list("b._r").alias("by"))
     queue = threats.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_r", "by"))).alias("q"))
 
@@ -92,11 +97,32 @@ def containment_and_duplicates(df: DataFrame, group: list[str], contained: float
     return suppress(df, group, [-F.col("score"), F.col("ord")], rejects)
 
 
+def near_hashes(left: DataFrame, right: DataFrame, group: list[str], distance: int, hash_col: str = "hash") -> DataFrame:
+    """left and right (aliased a and b) joined on the group where the 64-bit hashes differ in at most ``distance`` bits.
+
+    Of distance + 1 pieces of two such hashes one is equal, so this is an equi-join on a piece; a pair counts at its first equal
+    piece only. For distances of 32 and more, where pieces are single bits, it is a join on the group.
+    """
+    ha, hb = F.col(f"a.{hash_col}"), F.col(f"b.{hash_col}")
+    near = hamming(ha, hb) <= F.lit(distance)
+    same = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]
+    pieces = distance + 1
+    if pieces > 32:
+        return left.alias("a").join(right.alias("b"), [*same, near])
+    cuts = [64 * i // pieces for i in range(pieces + 1)]
+    piece = lambda h, i: F.shiftrightunsigned(h, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1 if pieces > 1 else -1))
+    spread = lambda df: df.select("*", F.posexplode(F.array(*[piece(F.col(hash_col), i) for i in range(pieces)])).alias("_piece", "_bits"))
+    xor = ha.bitwiseXOR(hb)
+    first = F.array_position(F.array(*[piece(xor, i) == 0 for i in range(pieces)]), F.lit(True)) == F.col("a._piece") + 1
+    on = [*same, F.col("a._piece") == F.col("b._piece"), F.col("a._bits") == F.col("b._bits"), near, first]
+    return spread(left).alias("a").join(spread(right).alias("b"), on)
+
+
 def hash_dedup(df: DataFrame, group: list[str], distance: int, order: str = "ord", hash_col: str = "hash") -> DataFrame:
     """In input order, out if the Hamming distance to a kept hash is at most ``distance``; 0 keeps all."""
     if distance <= 0:
         return df.withColumn("kept", F.lit(True))
-    return suppress(df, group, [F.col(order)], lambda a, b: hamming(a(hash_col), b(hash_col)) <= F.lit(distance))
+    return _suppressed(df, group, [F.col(order)], lambda ranked: near_hashes(ranked, ranked, group, distance, hash_col).where(F.col("b._r") < F.col("a._r")))
 
 
 def contained_pairs(df: DataFrame, group: list[str], threshold: float) -> DataFrame:
@@ -120,20 +146,21 @@ def contained_pairs(df: DataFrame, group: list[str], threshold: float) -> DataFr
 
 def weighted_fusion(df: DataFrame, group: list[str], threshold: float, models: int = 1, skip: float = 0.0) -> DataFrame:
     """Weighted box fusion: (group, cluster, box, score, n). By falling score a box joins the fused box of the greatest IoU above
-    the threshold (the earlier among equals) or opens a cluster; a fused box is the score-weighted mean of its boxes, its score
-    their mean, scaled by min(boxes, models) / models."""
+    the threshold (the earlier among equals) or opens a cluster; a fused box is the score-weighted mean of its boxes (the plain mean
+    where all scores are 0), its score their mean, scaled by min(boxes, models) / models."""
     rows = _grouped(df.where(F.col("score") >= skip), group, -F.col("score"), F.col("ord"))
-    kind = "array<struct<x1:double,y1:double,x2:double,y2:double,s:double,n:int>>"
+    kind = "array<struct<x1:double,y1:double,x2:double,y2:double,p1:double,q1:double,p2:double,q2:double,s:double,n:int>>"
+    plain = ("p1", "q1", "p2", "q2")  # sums without weights
 
     def fused(c: Column) -> boxes.Box:
-        return c["x1"] / c["s"], c["y1"] / c["s"], c["x2"] / c["s"], c["y2"] / c["s"]
+        return tuple(F.when(c["s"] > 0, c[k] / c["s"]).otherwise(c[p] / c["n"]) for k, p in zip(BOX, plain, strict=True))
 
     def step(s: Column, r: Column) -> Column:
-        new = F.struct(*[(r[c] * r["score"]).alias(c) for c in BOX], r["score"].alias("s"), F.lit(1).alias("n"))
+        new = F.struct(*[(r[c] * r["score"]).alias(c) for c in BOX], *[r[c].alias(p) for c, p in zip(BOX, plain, strict=True)], r["score"].alias("s"), F.lit(1).alias("n"))
         overlaps = F.transform(s, lambda c: boxes.iou(fused(c), boxes.corners(r)))
         best = F.array_max(overlaps)
         at = F.array_position(overlaps, best)
-        joined = F.transform(s, lambda c, i: F.when(i + 1 == at, F.struct(*[(c[k] + new[k]).alias(k) for k in BOX], (c["s"] + new["s"]).alias("s"), (c["n"] + 1).alias("n"))).otherwise(c))
+        joined = F.transform(s, lambda c, i: F.when(i + 1 == at, F.struct(*[(c[k] + new[k]).alias(k) for k in (*BOX, *plain)], (c["s"] + new["s"]).alias("s"), (c["n"] + 1).alias("n"))).otherwise(c))
         return F.when((F.size(s) > 0) & (best > F.lit(threshold)), joined).otherwise(F.concat(s, F.array(new)))
 
     typed = F.transform("rows", lambda r: F.struct(*[r[c].cast("double").alias(c) for c in (*BOX, "score")]))

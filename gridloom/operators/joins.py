@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridloom.functions import boxes
 from gridloom.functions.vectors import dot
@@ -16,15 +22,59 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def max_similarity(props: DataFrame, bank: DataFrame, group: str = "cls") -> DataFrame:
+def _blocks(bank: DataFrame, group: str, rows: int) -> Iterator[dict]:
+    """The bank in blocks of about ``rows`` vectors at most: by group the names and the matrix, in the order of ord, equal vectors once."""
+    refs = bank.select(F.col(group).alias("g"), F.col("ord").cast("long").alias("o"), F.col("ref_name").alias("n"), F.col("emb").cast("array<double>").alias("e")).where("g IS NOT NULL AND e IS NOT NULL")
+    n = max(1, ceil(refs.count() / rows))
+    part = F.pmod(F.xxhash64("g", "o"), F.lit(n))
+    for k in range(n):
+        found: dict = {}
+        for g, o, name, e in refs.where(part == k).orderBy("g", "o", "n").toLocalIterator():
+            own = found.setdefault(g, {})
+            own.setdefault(tuple(e), (o, name))
+        yield {g: ([x[0] for x in own.values()], [x[1] for x in own.values()], np.array(list(own))) for g, own in found.items()}
+
+
+def max_similarity(props: DataFrame, bank: DataFrame, group: str = "cls", rows_at_once: int = BROADCAST_ROWS) -> DataFrame:
     """props (group, emb, ...) with the greatest cosine to the bank's vectors of its group and that vector's name (the lowest ord
-    among equals); null where the group has no bank."""
-    own = [c for c in props.columns]
-    refs = small(bank.select(F.col(group).alias("_g"), F.col("ord").alias("_o"), F.col("ref_name").alias("_name"), F.col("emb").alias("_e")))
-    pairs = props.join(refs, F.col(group) == F.col("_g"), "left").withColumn("sim", dot(F.col("emb"), F.col("_e")))
-    best = F.max(F.struct("sim", (-F.col("_o")).alias("o"), "_name")).alias("_best")
-    keep = [c for c in own if c != "emb"]
-    return pairs.groupBy(*keep).agg(best).select(*keep, F.col("_best.sim").alias("sim"), F.col("_best._name").alias("best_ref"))
+    among equals); null where the group has no bank or the row no vector. Rows stay as they are, without ``emb``.
+
+    The bank goes out in blocks of a bounded size; a task multiplies its rows with a block's matrices, and a row keeps the best of
+    the blocks before. Nothing is shuffled or regrouped.
+    """
+    keep = [c for c in props.columns if c != "emb"]
+    rows = props.withColumns({"sim": F.lit(None).cast("double"), "best_ref": F.lit(None).cast("string"), "_o": F.lit(None).cast("long")})
+    schema = StructType([*(f for f in rows.schema.fields)])
+    for block in _blocks(bank, group, rows_at_once):
+        known = props.sparkSession.sparkContext.broadcast(block)  # of a bounded block
+
+        def run(batches, known=known):
+            for batch in batches:
+                if batch.num_rows:
+                    yield _best_of(batch, known.value, group)
+
+        rows = rows.mapInArrow(run, schema)
+    return rows.select(*keep, "sim", "best_ref")
+
+
+def _best_of(batch: pa.RecordBatch, block: dict, group: str) -> pa.RecordBatch:
+    """The batch with what the block betters."""
+    names = batch.schema.names
+    sim, ref, at = (batch.column(c).to_pylist() for c in ("sim", "best_ref", "_o"))
+    by: dict = {}
+    vectors = batch.column("emb")
+    for i, (g, there) in enumerate(zip(batch.column(group).to_pylist(), vectors.is_valid().to_pylist(), strict=True)):
+        if there and g in block:
+            by.setdefault(g, []).append(i)
+    for g, own in by.items():
+        orders, refs, matrix = block[g]
+        part = vectors.take(pa.array(own))
+        found = np.asarray(part.flatten(), np.float64).reshape(len(own), -1) @ matrix.T
+        for i, k, best in zip(own, found.argmax(1).tolist(), found.max(1).tolist(), strict=True):
+            if sim[i] is None or (best, -orders[k]) > (sim[i], -at[i]):
+                sim[i], ref[i], at[i] = best, refs[k], orders[k]
+    new = {"sim": pa.array(sim, pa.float64()), "best_ref": pa.array(ref, pa.string()), "_o": pa.array(at, pa.int64())}
+    return pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
 
 
 def overlapping(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
@@ -52,6 +102,33 @@ def resolve(stems: DataFrame, images: DataFrame) -> DataFrame:
     return stems.join(first, "stem", "left")
 
 
+def eval_stems(images: DataFrame | None, files: DataFrame) -> DataFrame:
+    """The distinct stems to evaluate: those of the images; without an image folder (None) those of the label files, but for previews
+    and summaries."""
+    if images is not None:
+        return images.select("stem").distinct()
+    return files.select("stem").where(~F.col("stem").endswith("_preview") & (F.col("stem") != "summary")).distinct()
+
+
+def near_scenes(vectors: DataFrame, scenes: DataFrame, target: DataFrame, least: float, key: str = "scene") -> DataFrame:
+    """The vectors of the scenes (key, emb; one for each) that are similar enough to the target scene (emb; one row)."""
+    one = target.select(F.col("emb").alias("_t")).limit(1)
+    near = scenes.crossJoin(F.broadcast(one)).where(dot(F.col("emb"), F.col("_t")) >= F.lit(float(least))).select(key)
+    return vectors.join(near, key, "left_semi")
+
+
+def good_masks(masks: DataFrame, score: float, share: float) -> DataFrame:
+    """The rows (mask_area, bbox_area, sam_score) whose mask is not empty, sure enough, and fills enough of its box."""
+    filled = F.col("mask_area") / F.greatest(F.col("bbox_area"), F.lit(1))
+    return masks.where((F.col("mask_area") > 0) & (F.col("sam_score") >= F.lit(score)) & (filled >= F.lit(share)))
+
+
+def with_bank(props: DataFrame, crops: DataFrame, cls: str = "cls") -> tuple[DataFrame, DataFrame]:
+    """props of classes that have crops, and the wanted classes whose crop folder is empty, which are skipped."""
+    there = crops.select(cls).distinct()
+    return props.join(there, cls, "left_semi"), props.select(cls).distinct().join(there, cls, "left_anti")
+
+
 def local_classes(labels: DataFrame) -> DataFrame:
     """(stem, cls, local): the dense index of a class among the sorted classes of its stem."""
     return labels.select("stem", "cls").distinct().withColumn("local", F.dense_rank().over(Window.partitionBy("stem").orderBy("cls")) - 1)

@@ -88,7 +88,7 @@ def _clumped(spark, sf):
 
 
 _CLUMPED = fx.BOX + """,
-c AS (SELECT img, cls, ord, score, floor(x1 / 5) AS x1, floor(y1 / 5) AS y1, floor(x1 / 5) + (x2 - x1) AS x2, floor(y1 / 5) + (y2 - y1) AS y2 FROM pred WHERE ord <= 25)"""
+c AS (SELECT img, cls, ord, score, floor(x1 / 5) AS x1, floor(y1 / 5) AS y1, floor(x1 / 5) + (x2 - x1) AS x2, floor(y1 / 5) + (y2 - y1) AS y2 FROM pred)"""
 
 
 def nms(spark, sf):
@@ -108,14 +108,21 @@ def wbf(spark, sf):
     return out.where(F.col("score") >= 0.10).select(*GROUP, "cluster", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2", "score")], "n")
 
 
+def wbf_all(spark, sf):
+    """Fusion without a score gate, zero scores among the boxes."""
+    rows = _clumped(spark, sf).withColumn("score", F.when(F.col("ord") % 3 == 0, F.lit(0.0)).otherwise(F.col("score")))
+    out = folds.weighted_fusion(rows, GROUP, 0.45)
+    return out.select(*GROUP, "cluster", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2", "score")], "n")
+
+
 def phash_dedup(spark, sf):
     return folds.hash_dedup(fx.hashes(spark, sf), ["cls"], 20).select("cls", "ord", "kept")
 
 
 def hamming(spark, sf):
+    """Pairs of a class at a distance of 16 at most, far nearer than chance brings them."""
     h = fx.hashes(spark, sf)
-    a, b = h.alias("a"), h.alias("b")
-    pairs = a.join(b, (F.col("a.cls") == F.col("b.cls")) & (F.col("a.ord") < F.col("b.ord")))
+    pairs = folds.near_hashes(h, h, ["cls"], 16).where(F.col("a.ord") < F.col("b.ord"))
     return pairs.select(F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b"), hamming_distance(F.col("a.hash"), F.col("b.hash")).cast("int").alias("distance"))
 
 
@@ -183,7 +190,7 @@ def p90_area(spark, sf):
 
 
 def median_area(spark, sf):
-    return fx.unit(spark, sf).groupBy("cls").agg(F.median(F.col("w") * F.col("h")).alias("median_area"))
+    return aggregates.median_area(fx.unit(spark, sf))
 
 
 def small_classes(spark, sf):
@@ -286,7 +293,7 @@ ORACLES = {
         UNION ALL SELECT n.cls, n.r, n.ord, CASE WHEN list_min(list_transform(f.kept, lambda k: {_DIST.format(a='k', b='n.b')})) <= 20 THEN f.kept ELSE f.kept || [n.b] END,
           list_min(list_transform(f.kept, lambda k: {_DIST.format(a='k', b='n.b')})) > 20 FROM fold f JOIN q n ON n.cls = f.cls AND n.r = f.r + 1)
       SELECT cls, ord, keep AS kept FROM fold""",
-    "hamming": f"WITH {_H} SELECT a.ord AS ord_a, b.ord AS ord_b, CAST({_DIST.format(a='a.b', b='b.b')} AS INT) AS distance FROM h a JOIN h b ON a.cls = b.cls AND a.ord < b.ord",
+    "hamming": f"WITH {_H} SELECT a.ord AS ord_a, b.ord AS ord_b, CAST({_DIST.format(a='a.b', b='b.b')} AS INT) AS distance FROM h a JOIN h b ON a.cls = b.cls AND a.ord < b.ord WHERE {_DIST.format(a='a.b', b='b.b')} <= 16",
     "p90_area": f"WITH {fx.UNIT}, s AS (SELECT cls, list_sort(list(w * h)) AS a FROM unit GROUP BY cls) SELECT cls, a[CAST(least(trunc(len(a) * 0.9::DOUBLE), len(a) - 1) AS INT) + 1] AS p90_area FROM s",
     "median_area": f"WITH {fx.UNIT} SELECT cls, median(w * h) AS median_area FROM unit GROUP BY cls",
     "small_classes": f"""WITH {fx.UNIT}, s AS (SELECT cls, list_sort(list(w * h)) AS a FROM unit WHERE cls <> 2 OR h < 0.03::DOUBLE GROUP BY cls),
@@ -319,25 +326,31 @@ walk AS (
   SELECT w.cls, w.pos + 1, p.id, (SELECT list({{'id': x.id, 'd': least(z.d, list_distance(x.e, y.e))}} ORDER BY x.id) FROM src x, src y, (SELECT unnest(w.away, recursive := true)) z WHERE x.cls = w.cls AND x.id = z.id AND y.id = p.id)
   FROM walk w, (SELECT 1) q, LATERAL (SELECT arg_max(u.id, (round(u.d, 12), -u.id)) AS id FROM (SELECT unnest(w.away, recursive := true)) u) p WHERE w.pos + 1 < {k})"""
 _SIM = """, bank AS (SELECT label AS cls, vec_id AS ord, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 5 = 0 AND label <> 9),
-e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 500),
-keyed AS (SELECT c.*, e.id, e.e FROM c JOIN e ON e.id = (c.img * 31 + c.ord * 7 + c.cls) % 500),
+e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+keyed AS (SELECT c.*, e.id, e.e FROM c JOIN e ON e.id = (c.img * 31 + c.ord * 7 + c.cls) % (SELECT count(*) FROM embeddings)),
 sims AS (SELECT cls, id, max(s) AS sim FROM (SELECT k.cls, k.id, list_inner_product(k.e, b.e) AS s FROM (SELECT DISTINCT cls, id, e FROM keyed) k JOIN bank b ON b.cls = k.cls) GROUP BY cls, id),
 gated AS (SELECT k.*, sim, 0.2::DOUBLE * score + 0.8::DOUBLE * sim AS combined FROM keyed k LEFT JOIN sims s ON s.cls = k.cls AND s.id = k.id)"""
+_X1, _Y1, _X2, _Y2 = (f"(CASE WHEN k.s > 0 THEN k.{w} / k.s ELSE k.{p} / k.n END)" for w, p in zip("abcd", "efgh", strict=True))
+_OPEN = "{{'a': x1 * score, 'b': y1 * score, 'c': x2 * score, 'd': y2 * score, 'e': x1, 'f': y1, 'g': x2, 'h': y2, 's': score, 'n': 1}}"
+_JOIN = "{{" + ", ".join(f"'{w}': k.{w} + {c} * score" for w, c in zip("abcd", ("x1", "y1", "x2", "y2"), strict=True)) + ", " + ", ".join(f"'{p}': k.{p} + {c}" for p, c in zip("efgh", ("x1", "y1", "x2", "y2"), strict=True)) + ", 's': k.s + score, 'n': k.n + 1}}"
+_MEET = f"(greatest(0, least({_X2}, n.x2) - greatest({_X1}, n.x1)) * greatest(0, least({_Y2}, n.y2) - greatest({_Y1}, n.y1)))"
+# A fused box is the weighted mean of its boxes, the plain one (sums e to h) where all scores are 0.
 _CLUSTERS = """rows AS (SELECT img, cls, x1, y1, x2, y2, score, row_number() OVER (PARTITION BY img, cls ORDER BY score DESC, ord) AS r FROM {source}),
 fold AS (
-  SELECT img, cls, r, [{{'a': x1 * score, 'b': y1 * score, 'c': x2 * score, 'd': y2 * score, 's': score, 'n': 1}}] AS cl FROM rows WHERE r = 1
+  SELECT img, cls, r, [""" + _OPEN + """] AS cl FROM rows WHERE r = 1
   UNION ALL
-  SELECT img, cls, r, CASE WHEN best > 0.45::DOUBLE THEN list_transform(cl, lambda k, i: CASE WHEN i = list_position(ov, best) THEN {{'a': k.a + x1 * score, 'b': k.b + y1 * score, 'c': k.c + x2 * score, 'd': k.d + y2 * score, 's': k.s + score, 'n': k.n + 1}} ELSE k END)
-    ELSE cl || [{{'a': x1 * score, 'b': y1 * score, 'c': x2 * score, 'd': y2 * score, 's': score, 'n': 1}}] END
+  SELECT img, cls, r, CASE WHEN best > 0.45::DOUBLE THEN list_transform(cl, lambda k, i: CASE WHEN i = list_position(ov, best) THEN """ + _JOIN + """ ELSE k END)
+    ELSE cl || [""" + _OPEN + f"""] END
   FROM (SELECT *, list_max(ov) AS best FROM (SELECT n.*, f.cl, list_transform(f.cl, lambda k:
-    (greatest(0, least(k.c / k.s, n.x2) - greatest(k.a / k.s, n.x1)) * greatest(0, least(k.d / k.s, n.y2) - greatest(k.b / k.s, n.y1)))
-    / ((k.c / k.s - k.a / k.s) * (k.d / k.s - k.b / k.s) + (n.x2 - n.x1) * (n.y2 - n.y1) - (greatest(0, least(k.c / k.s, n.x2) - greatest(k.a / k.s, n.x1)) * greatest(0, least(k.d / k.s, n.y2) - greatest(k.b / k.s, n.y1))))) AS ov
+    {_MEET} / (({_X2} - {_X1}) * ({_Y2} - {_Y1}) + (n.x2 - n.x1) * (n.y2 - n.y1) - {_MEET})) AS ov
     FROM fold f JOIN rows n ON n.img = f.img AND n.cls = f.cls AND n.r = f.r + 1))),
 last AS (SELECT img, cls, arg_max(cl, r) AS cl FROM fold GROUP BY img, cls),
-fused AS (SELECT img, cls, k - 1 AS cluster, cl[k].a / cl[k].s AS x1, cl[k].b / cl[k].s AS y1, cl[k].c / cl[k].s AS x2, cl[k].d / cl[k].s AS y2, cl[k].s / cl[k].n AS score, cl[k].n AS n FROM (SELECT *, unnest(range(1, len(cl) + 1)) AS k FROM last))"""
+parts AS (SELECT img, cls, i, cl[i] AS k FROM (SELECT *, unnest(range(1, len(cl) + 1)) AS i FROM last)),
+fused AS (SELECT img, cls, i - 1 AS cluster, {_X1} AS x1, {_Y1} AS y1, {_X2} AS x2, {_Y2} AS y2, k.s / k.n AS score, k.n AS n FROM parts)"""
 _FUSED = f"WITH RECURSIVE {_CLUMPED}, " + _CLUSTERS.format(source="c")
 ORACLES |= {
     "wbf": _FUSED + " SELECT img, cls, CAST(cluster AS INT) AS cluster, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(score, 6) AS score, n FROM fused WHERE score >= 0.10::DOUBLE",
+    "wbf_all": f"WITH RECURSIVE {_CLUMPED}, z AS (SELECT * REPLACE (CASE WHEN ord % 3 = 0 THEN 0.0::DOUBLE ELSE score END AS score) FROM c), " + _CLUSTERS.format(source="z") + " SELECT img, cls, CAST(cluster AS INT) AS cluster, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(score, 6) AS score, n FROM fused",
     "result_gate": _FUSED + " SELECT img, cls, count(*) AS n FROM fused WHERE score >= 0.50::DOUBLE GROUP BY img, cls",
     "dbscan": f"WITH RECURSIVE {_DBSCAN} SELECT * FROM labels",
     "medoids": f"WITH RECURSIVE {_MEDOIDS} SELECT * FROM med",
@@ -374,6 +387,6 @@ ORACLES |= {
 }
 NAMES = (
     "greedy_match global_flags per_image_stats prf1 pr_curve ap50 ap_coco map_overall per_image_pivot iou_pairs iou_containment best_containment nms suppress_b containment_a wbf "
-    "phash_dedup hamming fps dbscan medoids auto_eps cluster_select cap_shortcut extract fuse_a fuse_b combined_gate result_gate p90_area median_area small_classes summary_counts avg_sim"
+    "phash_dedup hamming fps dbscan medoids auto_eps cluster_select cap_shortcut extract fuse_a fuse_b combined_gate result_gate wbf_all p90_area median_area small_classes summary_counts avg_sim"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

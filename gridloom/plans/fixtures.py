@@ -28,12 +28,15 @@ pred AS (SELECT img, cls, ord, score, x1 + jx AS x1, y1 + jy AS y1, x1 + jx + w
 UNIT = BOX + """,
 unit AS (SELECT img, cls, ord, (x1 + x2) / 2 / 1000 AS cx, (y1 + y2) / 2 / 1000 AS cy, (x2 - x1) / 1000 AS w, (y2 - y1) / 1000 AS h FROM gt)"""
 
-#: Label lines of the truths; some have a part too few, some a part too many.
+#: Label lines of the truths; some have a part too few, some a part too many, some tabs and form feeds at their ends or between.
 LINES = UNIT + """,
 numbered AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY cls, ord) - 1 AS line_no FROM unit),
 lines AS (
   SELECT CAST(img AS VARCHAR(20)) AS stem, line_no,
          CASE WHEN (img + line_no) % 50 = 7 THEN printf('%d %.6f %.6f %.6f', cls, cx, cy, w)
+              WHEN (img + line_no) % 50 = 8 THEN concat(printf('%d %.6f %.6f %.6f', cls, cx, cy, w), chr(9))
+              WHEN (img + line_no) % 50 = 10 THEN concat(chr(9), printf('%d %.6f %.6f %.6f %.6f', cls, cx, cy, w, h), chr(9), chr(11))
+              WHEN (img + line_no) % 50 = 11 THEN concat(chr(12), printf('%d', cls), chr(9), chr(9), printf('%.6f %.6f %.6f %.6f', cx, cy, w, h))
               WHEN (img + line_no) % 50 = 9 THEN printf('%d %.6f %.6f %.6f %.6f 0.9', cls, cx, cy, w, h)
               ELSE printf(' %d %.6f  %.6f %.6f %.6f', cls, cx, cy, w, h) END AS line
   FROM numbered)"""

@@ -43,6 +43,12 @@ def stride_sample(spark, sf):
     return labels.stride(paths, 3)
 
 
+def odd_lines(spark, sf):
+    """Fields of lines with tabs, form feeds and line separators at their ends."""
+    out = fx.lines(spark, sf).select("stem", "line_no", F.size(labels.parts(F.col("line"))).alias("n"))
+    return out.groupBy("n").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def _images(spark, sf):
     """Images of the stems: those of every ninth are missing, every fourth is there with two extensions."""
     stems = fx.lines(spark, sf).select("stem").distinct().where("CAST(stem AS BIGINT) % 9 <> 4")
@@ -69,10 +75,8 @@ def join_image_label(spark, sf):
 
 def eval_stems(spark, sf):
     """Stems of the images; where there is no image folder, those of the label files without previews and summaries."""
-    images = _images(spark, sf).select("stem").distinct()
     files = spark.read.parquet(f"{sf}/part.parquet").select(F.when(F.col("p_partkey") % 5 == 0, F.concat(F.col("p_partkey"), F.lit("_preview"))).when(F.col("p_partkey") == 7, "summary").otherwise(F.col("p_partkey").cast("string")).alias("stem"))
-    files = files.where(~F.col("stem").endswith("_preview") & (F.col("stem") != "summary"))
-    return images.select(F.lit("images").alias("source"), "stem").union(files.select(F.lit("files").alias("source"), "stem"))
+    return joins.eval_stems(_images(spark, sf), files).select(F.lit("images").alias("source"), "stem").union(joins.eval_stems(None, files).select(F.lit("files").alias("source"), "stem"))
 
 
 def eval_left_join(spark, sf):
@@ -166,20 +170,24 @@ def missing_bank(spark, sf):
     return props.join(bank.select("cls").distinct(), "cls", "left_anti").select("cls", "id")
 
 
+def empty_banks(spark, sf):
+    """Classes without reference crops, and the proposals that remain."""
+    kept, skipped = joins.with_bank(fx.proposals(spark, sf), fx.bank(spark, sf))
+    return skipped.select("cls", F.lit(0).cast("long").alias("n")).union(kept.groupBy("cls").agg(F.count(F.lit(1)).alias("n")))
+
+
 def source_sim_filter(spark, sf):
     """Vectors whose scene, one vector for each hundred, is similar enough to the target scene (vector 0)."""
     v = fx.vectors(spark, sf)
-    scenes = v.where("id % 100 = 7").select((F.floor(F.col("id") / 100)).alias("scene"), F.col("emb").alias("s"))
-    target = v.where("id = 0").select(F.col("emb").alias("t"))
-    near = scenes.crossJoin(F.broadcast(target)).where(vectors.dot(F.col("s"), F.col("t")) >= 0.0).select("scene")  # the target is one row
-    return v.withColumn("scene", F.floor(F.col("id") / 100)).join(near, "scene", "left_semi").select("id")
+    scenes = v.where("id % 100 = 7").select((F.floor(F.col("id") / 100)).alias("scene"), "emb")
+    target = v.where("id = 0").select("emb")
+    return joins.near_scenes(v.withColumn("scene", F.floor(F.col("id") / 100)), scenes, target, 0.0).select("id")
 
 
 def cosine(spark, sf):
-    v = fx.vectors(spark, sf)
-    a, b = v.alias("a"), v.alias("b")
-    pairs = a.join(b, (F.col("a.cls") == F.col("b.cls")) & (F.col("a.id") < F.col("b.id")))
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(vectors.dot(F.col("a.emb"), F.col("b.emb")), 6).alias("cosine"), F.round(vectors.euclid(F.col("a.emb"), F.col("b.emb")), 6).alias("euclid"))
+    """Each vector with the mean of its class: all vectors, one row each."""
+    pairs = fx.vectors(spark, sf).join(aggregates.centroid(fx.vectors(spark, sf)), "cls")
+    return pairs.select("id", F.round(vectors.dot(F.col("emb"), F.col("centroid")), 6).alias("cosine"), F.round(vectors.euclid(F.col("emb"), F.col("centroid")), 6).alias("euclid"))
 
 
 def l2_normalize(spark, sf):
@@ -198,6 +206,14 @@ def masked_pool(spark, sf):
     return aggregates.masked_pool(tokens).select("crop", "i", F.round("v", 9).alias("v"))
 
 
+def pooled_all(spark, sf):
+    """All tokens' mean of crops without a mask and for a class of small objects, brought to length 1."""
+    v = fx.vectors(spark, sf).withColumn("crop", F.floor(F.col("id") / 10))
+    tokens = v.select("crop", (F.col("id") % 10 == 0).alias("is_cls"), F.when(F.col("crop") % 2 == 0, F.col("id") % 7 < 3).alias("masked"), "emb")
+    rows = aggregates.masked_pool(tokens, unit=True).select(F.lit("mask").alias("mode"), "*").union(aggregates.masked_pool(tokens, every=True, unit=True).select(F.lit("all").alias("mode"), "*"))
+    return rows.select("mode", "crop", "i", F.round("v", 9).alias("v"))
+
+
 def exemplar_prefix(spark, sf):
     own = fx.bank(spark, sf).groupBy("cls").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "ref_name"))), lambda x: x["ref_name"]).alias("refs"))
     return own.select("cls", F.array_join(F.slice("refs", 1, 5), ",").alias("refs"))
@@ -210,8 +226,7 @@ def best_mask(spark, sf):
 
 def mask_quality(spark, sf):
     rows = fx.select(spark, sf, "", "SELECT p_partkey, p_size * 3 AS mask_area, p_partkey % 400 AS bbox_area, CAST(p_partkey % 100 AS DOUBLE) / 100 AS sam_score FROM part", "part")
-    share = F.col("mask_area") / F.greatest(F.col("bbox_area"), F.lit(1))
-    return rows.where((F.col("mask_area") > 0) & (F.col("sam_score") >= 0.5) & (share >= 0.1)).select("p_partkey")
+    return joins.good_masks(rows, 0.5, 0.1).select("p_partkey")
 
 
 def set_ops(spark, sf):
@@ -229,7 +244,7 @@ def class_rank(spark, sf):
     return counts.withColumn("r", rank).where("r <= 2")
 
 
-_SPLIT = r"regexp_split_to_array(trim(line), '\s+')"
+_SPLIT = r"list_filter(regexp_split_to_array(line, '[\t\n\v\f\r ]+'), lambda x: x <> '')"
 _PARSED = rf"""p AS (SELECT stem, line_no, {_SPLIT} AS t FROM {{source}}),
 parsed AS (SELECT stem, line_no, CAST(t[1] AS INT) AS cls, CAST(t[2] AS DOUBLE) AS cx, CAST(t[3] AS DOUBLE) AS cy, CAST(t[4] AS DOUBLE) AS w, CAST(t[5] AS DOUBLE) AS h FROM p
   WHERE len(t) >= 5 AND regexp_full_match(t[1], '-?\d+') AND TRY_CAST(t[2] AS DOUBLE) IS NOT NULL AND TRY_CAST(t[3] AS DOUBLE) IS NOT NULL AND TRY_CAST(t[4] AS DOUBLE) IS NOT NULL AND TRY_CAST(t[5] AS DOUBLE) IS NOT NULL)"""
@@ -272,12 +287,18 @@ ORACLES = {
     "sim_gate": _DUCK_SIM + " SELECT cls, id FROM r WHERE r = 1 AND sim >= 0.2::DOUBLE",
     "missing_bank": "SELECT label AS cls, vec_id AS id FROM embeddings WHERE vec_id % 5 <> 0 AND label = 9",
     "source_sim_filter": f"WITH {_DUCK_V}, n AS (SELECT s.id // 100 AS scene FROM v s, v t WHERE s.id % 100 = 7 AND t.id = 0 AND list_inner_product(s.e, t.e) >= 0) SELECT id FROM v WHERE id // 100 IN (SELECT scene FROM n)",
-    "cosine": f"WITH {_DUCK_V} SELECT a.id AS a, b.id AS b, round(list_inner_product(a.e, b.e), 6) AS cosine, round(list_distance(a.e, b.e), 6) AS euclid FROM v a JOIN v b ON a.cls = b.cls AND a.id < b.id AND b.id < 400",
+    "cosine": f"WITH {_DUCK_V}, s AS (SELECT cls, unnest(e) AS x, unnest(range(64)) AS i FROM v), m AS (SELECT cls, i, avg(x) AS x FROM s GROUP BY cls, i), c AS (SELECT cls, list(x ORDER BY i) AS c FROM m GROUP BY cls) SELECT id, round(list_inner_product(e, c), 6) AS cosine, round(list_distance(e, c), 6) AS euclid FROM v JOIN c USING (cls)",
+    "odd_lines": f"WITH {fx.LINES} SELECT CAST(len({_SPLIT}) AS INT) AS n, count(*) AS lines FROM lines GROUP BY 1",
+    "empty_banks": "SELECT label AS cls, CASE WHEN label = 9 THEN 0 ELSE count(*) END AS n FROM embeddings WHERE vec_id % 5 <> 0 GROUP BY label",
     "l2_normalize": f"WITH {_DUCK_V}, s AS (SELECT id, unnest(e) * unnest(range(1, 65)) AS x, CAST(unnest(range(64)) AS INT) AS i FROM v) SELECT id, i, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 9) AS v FROM s",
     "centroid": f"WITH {_DUCK_V}, s AS (SELECT cls, unnest(e) AS x, CAST(unnest(range(64)) AS INT) AS i FROM v) SELECT cls, i, round(avg(x), 9) AS v FROM s GROUP BY cls, i",
     "masked_pool": f"WITH {_DUCK_V}, s AS (SELECT id // 10 AS crop, id, unnest(e) AS x, CAST(unnest(range(64)) AS INT) AS i FROM v) SELECT crop, i, round(coalesce(avg(x) FILTER (WHERE id % 10 <> 0 AND id % 7 < 3 AND crop % 4 > 0), max(x) FILTER (WHERE id % 10 = 0)), 9) AS v FROM s GROUP BY crop, i",
+    "pooled_all": f"""WITH {_DUCK_V}, s AS (SELECT id // 10 AS crop, id, unnest(e) AS x, CAST(unnest(range(64)) AS INT) AS i FROM v),
+        p AS (SELECT 'mask' AS mode, crop, i, CASE WHEN crop % 2 = 0 THEN coalesce(avg(x) FILTER (WHERE id % 10 <> 0 AND id % 7 < 3), max(x) FILTER (WHERE id % 10 = 0)) ELSE avg(x) END AS v FROM s GROUP BY crop, i
+          UNION ALL SELECT 'all', crop, i, avg(x) FROM s GROUP BY crop, i)
+        SELECT mode, crop, i, round(v / sqrt(sum(v * v) OVER (PARTITION BY mode, crop)), 9) AS v FROM p""",
     "exemplar_prefix": "WITH r AS (SELECT label AS cls, vec_id AS ord, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings WHERE vec_id % 5 = 0 AND label <> 9) SELECT cls, string_agg('ref' || CAST(ord AS VARCHAR), ',' ORDER BY ord) AS refs FROM r WHERE r <= 5 GROUP BY cls",
-    "best_mask": f"WITH {fx.BOX}, r AS (SELECT img, cls, ord, score, row_number() OVER (PARTITION BY img, cls ORDER BY score DESC, ord) AS r FROM pred WHERE ord <= 9) SELECT img, cls, ord AS best, score FROM r WHERE r = 1",
+    "best_mask": f"WITH {fx.BOX}, r AS (SELECT img, cls, ord, score, row_number() OVER (PARTITION BY img, cls ORDER BY score DESC, ord) AS r FROM pred) SELECT img, cls, ord AS best, score FROM r WHERE r = 1",
     "mask_quality": "SELECT p_partkey FROM part WHERE p_size > 0 AND (p_partkey % 100) / 100.0 >= 0.5 AND CAST(p_size * 3 AS DOUBLE) / greatest(p_partkey % 400, 1) >= 0.1::DOUBLE",
     "set_ops": _STRICT + ", a AS (SELECT DISTINCT stem, cls FROM parsed WHERE w < 0.04::DOUBLE), b AS (SELECT DISTINCT stem, cls FROM parsed WHERE h < 0.03::DOUBLE), o AS (SELECT 'union' AS op, * FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', * FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', * FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) SELECT op, count(*) AS n, CAST(sum(cls) AS BIGINT) AS cls_sum FROM o GROUP BY op",
     "class_rank": f"WITH {fx.BOX}, c AS (SELECT img, cls, count(*) AS n FROM gt GROUP BY img, cls), r AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY n DESC, cls) AS r FROM c) SELECT img, cls, n, CAST(r AS INT) AS r FROM r WHERE r <= 2",

@@ -13,12 +13,26 @@ SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp")
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(stem, line_no, line) of the .txt files in a folder. Files are small, each is read whole."""
-    files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(stem(F.input_file_name()).alias("stem"), "value")
+    files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(stem(file_path()).alias("stem"), "value")
     return files.select("stem", F.posexplode(log_lines(F.col("value"))).alias("line_no", "line"))
 
 
+def file_path() -> Column:
+    """The path of a row's file as it is, not as part of a URL."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+#: White space of any script.
+BLANK = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def parts(line: Column) -> Column:
+    """What stands between white space."""
+    return F.filter(F.split(line, f"{BLANK}+"), lambda x: x != "")
+
+
 def _parts(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("_p", F.split(F.trim("line"), r"\s+")).where(F.size("_p") >= 5)
+    return lines.withColumn("_p", parts(F.col("line"))).where(F.size("_p") >= 5)
 
 
 def _cast(part: Column, kind: str, strict: bool) -> Column:
@@ -42,13 +56,13 @@ def indexed(labels: DataFrame, classes: list[int]) -> DataFrame:
 
 def discover_classes(lines: DataFrame) -> DataFrame:
     """The distinct class ids; bad ones are left out."""
-    first = F.split(F.trim("line"), r"\s+")[0].try_cast("int")
+    first = F.get(parts(F.col("line")), F.lit(0)).try_cast("int")
     return lines.select(first.alias("cls")).dropna().distinct()
 
 
 def class_names(text: DataFrame, column: str = "text") -> DataFrame:
     """(cls, name): the non-blank lines, numbered after blank ones are dropped."""
-    lines = F.filter(F.transform(log_lines(F.col(column)), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(log_lines(F.col(column)), lambda x: F.regexp_replace(x, f"^{BLANK}+|{BLANK}+$", "")), lambda x: x != "")
     return text.select(F.posexplode(lines).alias("cls", "name"))
 
 

@@ -158,3 +158,43 @@ def test_density_clusters():
     assert [m[2] for m in cluster.medoids(unit, np.array([0, 0, 0, 1, 1, 1, -1, -1]))] == [1, 4]
     assert cluster.select(unit, 8, None, 3, 85.0) == list(range(8))
     assert cluster.select(unit, 3, eps + 1e-12, 3, 85.0)[-1] == 6
+
+
+def test_fusion_of_zero_scores(spark):
+    """Boxes without any score are fused to their plain mean."""
+    rows = [(0, 0, 0, 0.0, 0.0, 0.0, 10.0, 10.0), (0, 0, 1, 0.0, 2.0, 0.0, 12.0, 10.0), (0, 0, 2, 0.0, 50.0, 50.0, 60.0, 60.0), (0, 1, 0, 0.5, 0.0, 0.0, 10.0, 10.0), (0, 1, 1, 0.0, 2.0, 0.0, 12.0, 10.0)]
+    got = {(r.cls, r.cluster): (r.x1, r.x2, r.score, r.n) for r in folds.weighted_fusion(spark.createDataFrame(rows, SCHEMA), ["img", "cls"], 0.4).collect()}
+    assert got == {(0, 0): (1.0, 11.0, 0.0, 2), (0, 1): (50.0, 60.0, 0.0, 1), (1, 0): (0.0, 10.0, 0.25, 2)}
+
+
+@pytest.mark.parametrize("distance", [0, 3, 6, 20, 40])
+def test_near_hashes(spark, distance):
+    rng = np.random.default_rng(distance)
+    base = rng.integers(0, 1 << 63, 12)
+    rows = [(int(i % 2), i, int(base[i % 12]) ^ int(np.bitwise_or.reduce(1 << rng.integers(0, 63, rng.integers(1, 9))))) for i in range(80)]
+    df = spark.createDataFrame(rows, "cls int, ord long, hash long")
+    got = sorted((r.x, r.y) for r in folds.near_hashes(df, df, ["cls"], distance).select(folds.F.col("a.ord").alias("x"), folds.F.col("b.ord").alias("y")).collect())
+    assert got == sorted((i, j) for c, i, h in rows for d, j, k in rows if c == d and (h ^ k).bit_count() <= distance)
+
+
+def clustered(spark, n=140):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 8))
+    v = centres[rng.integers(0, 6, n)] + rng.normal(size=(n, 8)) * rng.choice([0.15, 1.0], (n, 1), p=[0.7, 0.3])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(int(i % 2), 1000 - 3 * i, [float(x) for x in u]) for i, u in enumerate(v)] + [(7, 5, [1.0] + [0.0] * 7)]
+    return spark.createDataFrame(rows, "cls int, id long, emb array<double>").repartition(3)
+
+
+def test_large_classes_have_the_same_results(spark):
+    """Classes above the limit go through blocks and rounds, and come out as in one task."""
+    df = clustered(spark)
+    same = lambda f, key: (sorted(map(key, f(cluster.LIMIT).collect())), sorted(map(key, f(30).collect())))
+    plain = lambda r: tuple(r)
+    one, two = same(lambda m: cluster.dbscan(df, 0.1, 4, limit=m), plain)
+    assert one == two and {r[2] for r in one} > {-1, 0, 1}
+    for f in (lambda m: cluster.cluster_medoids(df, 0.1, 4, limit=m), lambda m: cluster.fps(df, 6, limit=m), lambda m: cluster.cluster_select(df, 9, 0.1, 4, limit=m), lambda m: cluster.cluster_select(df, 9, None, 4, limit=m)):
+        one, two = same(f, plain)
+        assert one == two and one
+    one, two = same(lambda m: cluster.auto_eps(df, 4, 85.0, limit=m), lambda r: (r.cls, round(r.eps, 12)))
+    assert one == two
