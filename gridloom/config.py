@@ -21,6 +21,10 @@ class FuseA:
     small_area: float = 0.01
 
 
+#: The interactive front end starts the same pipeline with another limit of small objects.
+FUSE_A_INTERACTIVE = FuseA(small_area=0.02)
+
+
 @dataclass(frozen=True)
 class FuseB:
     """Detections by exemplars on a canvas, gated and suppressed."""
@@ -52,6 +56,14 @@ class Extract:
     cap: int = 100
 
 
+@dataclass(frozen=True)
+class ExtractPlain:
+    """Reference crops of every image, neither hashed nor clustered."""
+
+    stride: int = 1
+    padding: float = 0.0
+
+
 @dataclass(frozen=True)
 class Evaluate:
     iou: float = 0.50

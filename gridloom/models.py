@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame
 
+#: Rows that a runner gets at once.
+BATCH = 8
+
 
 class ModelRunner(Protocol):
     """Turns a batch of input rows into output rows of ``schema``; made once in each task by its own ``open``."""
@@ -18,16 +24,29 @@ class ModelRunner(Protocol):
     def run(self, batch: pd.DataFrame) -> pd.DataFrame: ...
 
 
-def apply(inputs: DataFrame, runner: ModelRunner) -> DataFrame:
-    """The runner over all rows, a batch at a time; a batch that fails is left out with a warning, as one bad image must not end a job."""
+def _tried(runner: ModelRunner, batch: pd.DataFrame, lost: Accumulator | None) -> Iterator[pd.DataFrame]:
+    """The runner's rows; a batch that fails is halved until the rows that fail stand alone, and these are left out."""
+    try:
+        yield runner.run(batch)
+    except (ValueError, OSError) as error:
+        if len(batch) > 1:
+            for part in (batch.iloc[: len(batch) // 2], batch.iloc[len(batch) // 2 :]):
+                yield from _tried(runner, part, lost)
+            return
+        warnings.warn(f"a row is left out: {error}", stacklevel=2)
+        if lost is not None:
+            lost.add(1)
+
+
+def apply(inputs: DataFrame, runner: ModelRunner, batch: int = BATCH, lost: Accumulator | None = None) -> DataFrame:
+    """The runner over all rows, ``batch`` at a time. Rows that fail are left out with a warning, as one bad image must not end a job, and
+    counted in ``lost``."""
 
     def work(batches):
         runner.open()
-        for batch in batches:
-            try:
-                yield runner.run(batch)
-            except (ValueError, OSError) as error:
-                print(f"[warn] batch of {len(batch)} rows skipped: {error}")
+        for whole in batches:
+            for at in range(0, len(whole), batch):
+                yield from _tried(runner, whole.iloc[at : at + batch], lost)
 
     return inputs.mapInPandas(work, runner.schema)
 

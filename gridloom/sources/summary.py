@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from json import dumps, loads
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import stem
+from gridloom.sources.writers import write_files
 
 _A = "struct<n_proposals:int,n_wbf:int,n_final:int,boxes:array<struct<xyxy:array<double>,score:double>>>"
 _B = "struct<class_id:int,box:array<double>,sam3_score:double,dino_sim:double,combined_score:double>"
@@ -60,5 +64,24 @@ def build_b(dets: DataFrame) -> DataFrame:
     return files.select("file", F.to_json(F.map_from_entries(F.array(F.struct(F.col("file"), info))), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def document(entries: DataFrame) -> DataFrame:
+    """(json) one row: the entries (file, json), one for each image, as a single document with two blanks of indent, in the order of files.
+
+    The document is the format's own unit and must fit in a row; for many images keep the entries, which ``parse`` reads as well.
+    """
+    own = F.sort_array(F.collect_list(F.struct("file", "json")))
+
+    def laid_out(json: pd.Series) -> pd.Series:
+        return pd.Series([dumps(loads(x), indent=2, ensure_ascii=True) for x in json])
+
+    joined = entries.agg(F.concat(F.lit("{"), F.array_join(F.transform(own, lambda e: F.substr(e["json"], F.lit(2), F.length(e["json"]) - 2)), ","), F.lit("}")).alias("json"))
+    return joined.select(F.pandas_udf(laid_out, "string")("json").alias("json"))
+
+
+def write_document(entries: DataFrame, folder: str) -> None:
+    """The document as ``summary.json`` in a folder."""
+    write_files(document(entries).select(F.lit("summary").alias("stem"), F.col("json").alias("content")), folder, ".json")
+
+
 def _label(file: Column) -> Column:
     return F.concat(stem(file), F.lit(".txt"))
