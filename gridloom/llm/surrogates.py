@@ -7,14 +7,16 @@ other notation or letter case (coreference), without any join.
 
 A stand-in keeps every separator, each letter's case and script, and the class of each character. The characters are
 encrypted in place by a keyed Feistel network over the two halves of the canonical form, each character within its own
-alphabet (digits, hex digits, letters of its script; in names vowels and consonants apart, so that a name can be spoken).
+alphabet (digits, hex digits, letters of its script; in names vowels and consonants apart, so that a name can be spoken; other
+letters among those of their script and part of Unicode, with case and without apart).
 That is a permutation of all strings of a shape: different entities have different stand-ins. What carries meaning stays: top-level
 domains, country codes of phones and IBANs, a card's first digit, a key's name or prefix, a name's title (which tells the
-gender) and its last letter (which shows it). Check digits of cards and IBANs move with the number, so right ones stay
+gender) and the last letter of words from four letters (which shows it). Check digits of cards and IBANs move with the number, so right ones stay
 right; IP addresses are permuted as four octets.
 
-Collision check: ``collisions`` gathers the distinct entities of a corpus and finds stand-ins that two of them share;
-``safe_key`` appends the attempt to the key until there is none. By construction that is the first attempt.
+Collision check: ``collisions`` gathers the distinct entities of a corpus and finds stand-ins that two of them share, and entities
+with two; ``safe_key`` appends the attempt to the key until there is none. By construction that is the first attempt; if none
+is free of them, the one with the fewest is taken with a warning. Entities are counted where their stand-in differs from them.
 
 Defined cases: null texts stay null, empty ones empty; equal texts give equal results; texts without entities are
 unchanged; an empty table gives no rows; all columns of the input are kept, whatever their names.
@@ -22,24 +24,29 @@ unchanged; an empty table gives no rows; all columns of the input are kept, what
 
 from __future__ import annotations
 
+import unicodedata
+import warnings
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import saved
 
 KEY = "gridloom-surrogates"
-ATTEMPTS = 20
+ATTEMPTS = 4
 ROUNDS = 3
 
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Sr", "Sra", "Monsieur", "Madame", "Mme", "Господин", "Госпожа", "Κύριος", "Κυρία")
 _WORD = r"\p{Lu}\p{L}{1,40}(?:-\p{Lu}\p{L}{1,40})?"
 _SECRET = r"(?i:password|passwd|token|secret|api[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
-#: A secret's value to its end, of 8 characters at least; punctuation belongs to it where more of the value follows.
-_VALUE = r"[A-Za-z0-9_+/-][A-Za-z0-9_+/.=~!#$%*@^:-]{6,}[A-Za-z0-9_+/-]"
+#: A secret's value to its end, of 8 characters at least, or of 5 with a digit; punctuation belongs to it where more of the value
+#: follows.
+_VALUE = r"(?:[A-Za-z0-9_+/-][A-Za-z0-9_+/.=~!#$%*@^:-]{6,}[A-Za-z0-9_+/-]|(?=[A-Za-z_+/-]{0,6}[0-9])[A-Za-z0-9_+/-]{5,7})"
 _TITLE = "(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? "
 #: The kinds in the order in which they are tried at a place; all begin where no letter or digit stands before.
 PATTERNS = {
-    "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}+\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
+    "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}+\.){1,126}\p{L}{2,63}(?![\p{L}\p{N}])",
     "secret": rf"{_SECRET}{_VALUE}",
     "access_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -80,6 +87,30 @@ _CASED = (_DIGITS, _LOWER, _LOWER.upper())
 _SPOKEN = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρσςτφχψ")
 
 
+#: Runs of letters that are their own alphabets: Chinese characters, Korean syllables, Tangut.
+_RUNS = ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0x17000, 0x187F8), (0x20000, 0x2A6E0), (0x2A700, 0x2B73A), (0x2B740, 0x2B81E), (0x2B820, 0x2CEA2), (0x2CEB0, 0x2EBE1), (0x30000, 0x3134B), (0x31350, 0x323B0))
+
+
+@cache
+def alphabets() -> tuple[str, ...]:
+    """All other letters and digits, by a rule: those of one script, with case (a capital of one letter that leads back) or without,
+    and 256 code points; groups of fewer than four are joined by script, then all. Digits by their zero."""
+    groups: dict[tuple, list[str]] = {}
+    for code in range(128, 0x110000):
+        c = chr(code)
+        if unicodedata.category(c)[0] in "LN" and c.lower() == c and not any(a <= code < b for a, b in _RUNS):
+            cased = c.upper() != c and len(c.upper()) == 1 and c.upper().lower() == c
+            script = unicodedata.name(c, "").split(" ")[0]
+            zero = code - unicodedata.decimal(c, code) if unicodedata.category(c) == "Nd" else 0
+            groups.setdefault((cased, bool(zero), script, zero or code >> 8), []).append(c)
+    for width in (3, 2):
+        for name in [n for n, own in groups.items() if len(own) < 4 and len(n) > width]:
+            groups.setdefault(name[:width], []).extend(groups.pop(name))
+    for name in [n for n, own in groups.items() if len(own) < 2]:  # a letter alone joins the largest group of its sort
+        max((own for n, own in groups.items() if n[0] == name[0] and n != name), key=len).extend(groups.pop(name))
+    return tuple("".join(sorted(own)) for _, own in sorted(groups.items(), key=str))
+
+
 def kind_of(match: Column) -> Column:
     told = None
     for kind, tell in _TELLS:
@@ -94,24 +125,33 @@ def _number(key: str, *parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
-def _moved(c: Column, by: Column, alphabets: tuple[str, ...]) -> Column:
-    """The character ``by`` places on in its alphabet; one that is in none stays."""
+def _moved(c: Column, by: Column, own: tuple[str, ...], others: bool) -> Column:
+    """The character ``by`` places on in its alphabet: one of ``own``, or with others that of its script."""
+    shifted = lambda at, size: F.pmod(at + by, size.cast("long"))
     out = F.when(F.length(c) == 0, c)
-    for a in alphabets:
+    for a in own:
         at = F.instr(F.lit(a), c)
-        out = out.when(at > 0, F.substr(F.lit(a), (F.pmod(at - 1 + by, F.lit(len(a)).cast("long")) + 1).cast("int"), F.lit(1)))
-    return out.otherwise(c)
-
-
-def _encrypted(x: Column, key: str, kind: str, alphabets: tuple[str, ...]) -> Column:
+        out = out.when(at > 0, F.substr(F.lit(a), (shifted(at - 1, F.lit(len(a))) + 1).cast("int"), F.lit(1)))
+    if not others:
+        return out.otherwise(c)
+    out = out.when(F.ascii(c) < 128, c)
+    runs = F.expr("array(" + ", ".join(f"struct({a} AS a, {b} AS b)" for a, b in _RUNS) + ")")
+    run = F.filter(runs, lambda r: (F.ascii(c) >= r["a"]) & (F.ascii(c) < r["b"]))
+    letter = lambda r: F.decode(F.unhex(F.lpad(F.hex(r["a"] + shifted(F.ascii(c) - r["a"], r["b"] - r["a"])), 8, "0")), "UTF-32")
+    rest = F.split(F.lit("\n".join(alphabets())), "\n")  # a constant
+    other = F.transform(F.filter(rest, lambda a: F.contains(a, c)), lambda a: F.substr(a, (shifted(F.instr(a, c) - 1, F.length(a)) + 1).cast("int"), F.lit(1)))
+    return out.otherwise(F.coalesce(F.get(F.concat(F.transform(run, letter), other), F.lit(0)), c))
+
+
+def _encrypted(x: Column, key: str, kind: str, own: tuple[str, ...], others: bool = False) -> Column:
     """The Feistel network over the halves of x."""
     half = F.floor(F.length(x) / 2).cast("int")
     start = F.struct(F.substr(x, F.lit(1), half).alias("l"), F.substr(x, half + 1).alias("r"))
 
-    def turn(own: Column, other: Column, tag: Column) -> Column:
+    def turn(side: Column, other: Column, tag: Column) -> Column:
         # The digest of a long half is made once, so that a long secret costs its length and not its square.
         short = F.array(F.when(F.length(other) > 128, F.sha2(other, 256)).otherwise(other))
-        return F.transform(short, lambda o: F.array_join(F.transform(F.split(own, ""), lambda c, i: _moved(c, _number(key, F.lit(kind), tag, o, i.cast("string")), alphabets)), ""))[0]
+        return F.transform(short, lambda o: F.array_join(F.transform(F.split(side, ""), lambda c, i: _moved(c, _number(key, F.lit(kind), tag, o, i.cast("string")), own, others)), ""))[0]
 
     def both(s: Column, r: Column) -> Column:
         left = turn(s["l"], s["r"], F.concat(r.cast("string"), F.lit("l")))
@@ -188,9 +228,9 @@ def surrogate(match: Column, key: str = KEY) -> Column:
     def rest(name: str) -> Column:
         return F.substr(match, F.length(kept(name)) + 1)
 
-    def whole(body: Column, name: str, alphabets: tuple[str, ...], fold: bool = True) -> Column:
+    def whole(body: Column, name: str, own: tuple[str, ...], fold: bool = True) -> Column:
         plain = _letters(F.lower(body) if fold else body)
-        return _refilled(body, _encrypted(plain, key, name, alphabets))
+        return _refilled(body, _encrypted(plain, key, name, own, name in ("email", "name")))
 
     def email() -> Column:
         tail = F.regexp_extract(match, r"\.\p{L}+$", 0)
@@ -218,7 +258,8 @@ def surrogate(match: Column, key: str = KEY) -> Column:
         return _refilled(match, F.concat(country, F.lpad(moved.cast("string"), 2, "0"), new))
 
     def name() -> Column:
-        words = F.transform(F.split(rest("name"), "(?<=[ -])|(?=[ -])"), lambda w: F.when(F.length(w) < 2, w).otherwise(F.concat(whole(F.substr(w, F.lit(1), F.length(w) - 1), "name", _SPOKEN), F.substr(w, F.length(w)))))
+        moved = lambda w: F.when(F.length(w) < 4, F.length(w)).otherwise(F.length(w) - 1)
+        words = F.transform(F.split(rest("name"), "(?<=[ -])|(?=[ -])"), lambda w: F.concat(whole(F.substr(w, F.lit(1), moved(w)), "name", _SPOKEN), F.substr(w, moved(w) + 1)))
         return F.concat(kept("name"), F.array_join(words, ""))
 
     shaped = {
@@ -248,41 +289,50 @@ def _canonical(match: Column, kind: Column) -> Column:
     return known.when(kind == "phone", F.concat(F.regexp_extract(match, r"^\+?", 0), _letters(match))).otherwise(_letters(lower))
 
 
-def entity_map(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """The distinct entities of the corpus: (kind, entity, surrogate) in canonical form."""
-    match = F.explode(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))).alias("match")
-    found = docs.select(match).distinct()
+def matches(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The distinct matches of the corpus: (match)."""
+    return docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))).alias("match")).distinct()
+
+
+def entity_map(found: DataFrame, key: str = KEY) -> DataFrame:
+    """The distinct entities of matches: (kind, entity, surrogate) in canonical form."""
     kind = kind_of(F.col("match"))
     found = found.select(kind.alias("kind"), _canonical(F.col("match"), kind).alias("entity"), surrogate(F.col("match"), key).alias("new"))
     return found.select("kind", "entity", _canonical(F.col("new"), F.col("kind")).alias("surrogate")).distinct()
 
 
-def collisions(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """Stand-ins that several entities share, and entities that have several stand-ins."""
-    own = saved(entity_map(docs, key, text_col))
+def collisions(found: DataFrame, key: str = KEY) -> DataFrame:
+    """Of matches: stand-ins that several entities share, and entities that have several stand-ins."""
+    own = saved(entity_map(found, key))
     shared = own.groupBy("kind", F.col("surrogate").alias("form")).agg(F.count_distinct("entity").alias("n")).where("n > 1").select("kind", "form", "n", F.lit("shared").alias("fault"))
     split = own.groupBy("kind", F.col("entity").alias("form")).agg(F.count_distinct("surrogate").alias("n")).where("n > 1").select("kind", "form", "n", F.lit("split").alias("fault"))
     return shared.union(split)
 
 
 def safe_key(docs: DataFrame, key: str = KEY, text_col: str = "text") -> str:
-    """The key, with the number of the first attempt that has no collision on this corpus."""
+    """The key, with the number of the first attempt that has no collision on this corpus, or of the one with the fewest."""
+    found, faults = saved(matches(docs, text_col)), []
     for attempt in range(ATTEMPTS):
-        if not collisions(docs, f"{key}:{attempt}", text_col).take(1):
+        faults.append((collisions(found, f"{key}:{attempt}").count(), attempt))
+        if not faults[-1][0]:
             return f"{key}:{attempt}"
-    raise ValueError(f"stand-ins collide under {ATTEMPTS} keys")
+    n, attempt = min(faults)
+    warnings.warn(f"stand-ins collide under {ATTEMPTS} keys, {n} of them under the best", stacklevel=2)
+    return f"{key}:{attempt}"
 
 
 def replaced(docs: DataFrame, key: str = KEY, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with its texts' entities replaced; with count_col their number is added."""
     names = docs.columns
-    found = "_" * (1 + max(map(len, names)))  # a name that no column has
+    found = "_" * (1 + max(map(len, names)))  # names that no column has
+    made = found + "_"
     rows = docs.withColumn(found, F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)))
-    new = F.transform(F.col(found), lambda m: surrogate(m, key))
+    rows = rows.withColumn(made, F.transform(F.col(found), lambda m: surrogate(m, key)))
     pieces = F.split(F.col(text_col), PATTERN, -1)
-    text = F.when(F.size(found) > 0, F.array_join(F.zip_with(pieces, new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")).otherwise(F.col(text_col))
+    text = F.when(F.size(found) > 0, F.array_join(F.zip_with(pieces, F.col(made), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")).otherwise(F.col(text_col))
+    changed = F.size(F.filter(F.zip_with(F.col(found), F.col(made), lambda m, s: m != s), lambda x: x))
     own = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
-    return rows.select(*own, *([F.greatest(F.size(found), F.lit(0)).alias(count_col)] if count_col else []))
+    return rows.select(*own, *([F.greatest(changed, F.lit(0)).alias(count_col)] if count_col else []))
 
 
 def surrogates(docs: DataFrame, key: str = KEY, text_col: str = "text", count_col: str | None = None) -> DataFrame:

@@ -33,8 +33,8 @@ def test_stages(spark, coders):  # noqa: F811
     four = stages[3](spark, three, SF)
     assert four.columns == docs.columns and four.count() == three.count()
     assert four.where("n_chars <> length(text)").count() == 0
-    found = surrogates.entity_map(three).select("entity").collect()
-    assert found and not {r.entity for r in found} & {r.entity for r in surrogates.entity_map(four).collect()}
+    found = surrogates.entity_map(surrogates.matches(three)).select("entity").collect()
+    assert found and not {r.entity for r in found} & {r.entity for r in surrogates.entity_map(surrogates.matches(four)).collect()}
     five = {r.doc_id: r for r in stages[4](spark, four, SF).collect()}
     for r in four.collect():
         ids = coders[1].encode_ordinary(r.text)

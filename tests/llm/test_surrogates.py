@@ -1,8 +1,11 @@
+import hashlib
 import random
 import re
 import string
+import unicodedata
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from gridloom.llm import surrogates as S
@@ -60,11 +63,15 @@ def test_digits_are_permuted(spark):
 
 def test_collisions_are_found(spark, monkeypatch):
     d = docs(spark, "ip 1.2.3.4 and 5.6.7.8", "ssn 123-45-6789")
-    assert S.collisions(d, "k").count() == 0 and S.safe_key(d, "k") == "k:0"
+    found = S.matches(d)
+    assert S.collisions(found, "k").count() == 0 and S.safe_key(d, "k") == "k:0"
     real = S.surrogate
     monkeypatch.setattr(S, "surrogate", lambda m, key: F.when(F.lit(key.endswith(":0")), F.lit("9.9.9.9")).otherwise(real(m, key)))
-    assert S.collisions(d, "k:0").where("fault = 'shared'").count() >= 1
+    assert S.collisions(found, "k:0").where("fault = 'shared'").count() >= 1
     assert S.safe_key(d.limit(1), "k") == "k:1"
+    monkeypatch.setattr(S, "surrogate", lambda m, key: F.lit("9.9.9.9"))
+    with pytest.warns(UserWarning, match="collide"):  # the run goes on
+        assert S.safe_key(d.limit(1), "k") == "k:0"
 
 
 def test_edges(spark, edge_docs, no_docs):
@@ -81,6 +88,140 @@ def test_clean_text_stays(spark, text):
     assert S.replaced(docs(spark, text), "k").first().text == text
 
 
+def test_letters_of_every_script_are_replaced(spark):
+    text = "mail 张伟@例子.com, Frau Müäöß and Monsieur Élysée; Господин Ёлкин; 김철수@메일.kr שלום@דוגמה.com ﺷﻤﺲ٣@خط.org Dr. Wu"
+    out = S.replaced(docs(spark, text), "k", count_col="n").first()
+    assert out.n == 8 and len(out.text) == len(text)
+    for old in ("张伟", "例子", "Müäö", "lysée", "лкин", "김철수", "메일", "שלום", "דוגמה", "خط", "ﺷﻤﺲ"):
+        assert old not in out.text
+    # Letters stay in their script and case, and have no capital of two letters.
+    for a, b in zip(text, out.text, strict=True):
+        if a.isalpha():
+            assert unicodedata.name(a).split(" ")[0] == unicodedata.name(b).split(" ")[0] and a.isupper() == b.isupper()
+    # The alphabets are disjoint, so moving in them is a permutation.
+    every = "".join(S.alphabets())
+    assert len(set(every)) == len(every) and all(len(a) > 1 for a in S.alphabets())
+
+
+def test_long_mailboxes_and_short_secrets(spark):
+    box = "x" * 70 + ".y"
+    out = S.replaced(docs(spark, f"{box}@mail.example.org password: hunter2 and secret: none, token: 2023."), "k", count_col="n").first()
+    assert box not in out.text and "hunter2" not in out.text and out.text.endswith("and secret: none, token: 2023.") and out.n == 2
+
+
+def test_unchanged_entities_are_not_counted(spark, monkeypatch):
+    monkeypatch.setattr(S, "surrogate", lambda m, key: F.when(m.startswith("1"), m).otherwise(F.lit("x")))
+    assert [r.n for r in S.replaced(docs(spark, "1.2.3.4 and 2.3.4.5", "1.2.3.4"), "k", count_col="n").sort("doc_id").collect()] == [1, 0]
+
+
+# A plain version: one string at a time, without Spark.
+
+RUNS = S._RUNS
+
+
+def number(key, *parts):
+    return int(hashlib.sha256("|".join((key, *parts)).encode()).hexdigest()[:12], 16)
+
+
+def moved(c, by, own, others):
+    for a in own + (S.alphabets() if others else ()):
+        if c in a:
+            return a[(a.index(c) + by) % len(a)]
+    for low, high in RUNS if others else ():
+        if low <= ord(c) < high:
+            return chr(low + (ord(c) - low + by) % (high - low))
+    return c
+
+
+def encrypted(x, key, kind, own, others=False):
+    left, right = x[: len(x) // 2], x[len(x) // 2 :]
+    short = lambda t: hashlib.sha256(t.encode()).hexdigest() if len(t) > 128 else t
+    for r in range(2 * S.ROUNDS):
+        if r % 2 == 0:
+            left = "".join(moved(c, number(key, kind, f"{r}l", short(right), str(i)), own, others) for i, c in enumerate(left))
+        else:
+            right = "".join(moved(c, number(key, kind, f"{r}r", short(left), str(i)), own, others) for i, c in enumerate(right))
+    return left + right
+
+
+def letters(x):
+    return regex.sub(r"[^\p{L}\p{N}]", "", x)
+
+
+def refilled(shape, new):
+    out, at = "", 0
+    for c in shape:
+        if regex.match(r"[\p{L}\p{N}]", c):
+            out += new[at].upper() if c != c.lower() else new[at]
+            at += 1
+        else:
+            out += c
+    return out
+
+
+def check_digit(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        d = int(d) * (2 if i % 2 == 0 else 1)
+        total += d - 9 if d > 9 else d
+    return -total % 10
+
+
+def iban_rest(country, rest):
+    return 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
+
+
+def plain_surrogate(m, key):
+    kind = next(k for k, tell in S._TELLS if regex.search(tell, m))
+    whole = lambda body, name, own, fold=True: refilled(body, encrypted(letters(body.lower() if fold else body), key, name, own, name in ("email", "name")))
+    stays = regex.match(S._STAYS[kind], m)[0] if kind in S._STAYS else ""
+    rest = m[len(stays) :]
+    if kind == "email":
+        tail = regex.search(r"\.\p{L}+$", m)[0]
+        return whole(m[: -len(tail)], "email", S._PLAIN) + tail
+    if kind == "secret":
+        return stays + (whole(rest, "hex", (S._HEX,)) if regex.fullmatch("[0-9a-f]+", rest) else whole(rest, "secret", S._CASED, False))
+    if kind == "access_key":
+        return stays + whole(rest, "access_key", S._CASED, False)
+    if kind == "iban":
+        x = letters(m.lower())
+        country, check, own = x[:2], x[2:4], x[4:]
+        new = encrypted(own, key, "iban", (S._DIGITS, S._LOWER))
+        return refilled(m, f"{country}{(iban_rest(country, new) + int(check) - iban_rest(country, own)) % 100:02d}{new}")
+    if kind == "ip":
+        a, b, c, d = map(int, m.split("."))
+        left, right = 256 * a + b, 256 * c + d
+        for r in range(2 * S.ROUNDS):
+            left, right = right, (left + number(key, "ip", str(r), str(right))) % 65536
+        return f"{left >> 8}.{left & 255}.{right >> 8}.{right & 255}"
+    if kind == "card":
+        digits = letters(m)
+        new = digits[0] + encrypted(digits[1:-1], key, "card", (S._DIGITS,))
+        return refilled(m, new + str((check_digit(new) + int(digits[-1]) - check_digit(digits[:-1])) % 10))
+    if kind in ("ssn", "phone"):
+        return stays + whole(rest, kind, (S._DIGITS,))
+    out = ""
+    for w in regex.split("([ -])", rest):
+        n = len(w) if len(w) < 4 else len(w) - 1
+        out += whole(w[:n], "name", S._SPOKEN) + w[n:]
+    return stays + out
+
+
+def test_whole_table_against_a_plain_version(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    extra = docs(spark, TEXT, "mail 张伟@例子.com, Frau Müäöß; 김철수@메일.kr token = " + "Ab9" * 120 + "; password: hunter2; Mr Li").selectExpr("-1 - doc_id AS doc_id", "text")
+    both = table.union(extra)
+    pattern = regex.compile(S.PATTERN)
+    got = {r.doc_id: r for r in S.replaced(both, "k", count_col="n").collect()}
+    entities = 0
+    for r in both.collect():
+        found = [m[0] for m in pattern.finditer(r.text or "")]
+        want = pattern.sub(lambda m: plain_surrogate(m[0], "k"), r.text or "")
+        assert (got[r.doc_id].text or "") == want and got[r.doc_id].n == sum(plain_surrogate(m, "k") != m for m in found)
+        entities += len(found)
+    assert entities > 100
+
+
 def test_secrets_are_replaced_to_their_end(spark):
     rng = random.Random(3)
     drawn = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
@@ -98,7 +239,7 @@ def test_notations_of_an_entity_do_not_collide(spark):
         spark, "call +351 912 345 678 or +351912345678 or +35 1912345678; +1 363 555 6578 or +13635556578; +44 20 7946 0958 or +442079460958",
         "+351 912 3456 is not 351-912-3456", "ip 10.0.0.1 or 10.0.0.01, mail \u0130da@mail.example.com or ida@mail.example.com",
     )
-    assert S.collisions(d, "k").collect() == [] and S.safe_key(d, "k") == "k:0"
+    assert S.collisions(S.matches(d), "k").collect() == [] and S.safe_key(d, "k") == "k:0"
     one, two, _ = [r.text for r in S.replaced(d, "k").sort("doc_id").collect()]
     numbers = [re.sub(r"\D", "", n) for n in re.findall(r"\+[\d ]*\d", one)]
     assert len(set(numbers[:3])) == len(set(numbers[3:5])) == len(set(numbers[5:])) == 1 and len(numbers) == 7
