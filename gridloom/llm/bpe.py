@@ -21,6 +21,7 @@ import re
 from array import array
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -53,6 +54,8 @@ class Transducer:
         self.size_of = {r: len(t) for t, r in ranks.items()}
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t) + 1)}
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        # Chunks are known to be whole matches of the public pattern only.
+        self.chunks = _CHUNK.findall if pattern == public_tokenizers.PATTERN else lambda text: [text]
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pieces = _Pieces(self)
         self._clear()
@@ -159,7 +162,7 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.pieces.__getitem__, _CHUNK.findall(text)))
+        return b"".join(map(self.pieces.__getitem__, self.chunks(text)))
 
     def ids(self, text: str) -> list[int]:
         return np.frombuffer(self.encode(text), "<u4").tolist()
@@ -188,33 +191,83 @@ class _Pieces(dict):
         return out
 
 
+def _classes() -> bytes:
+    """Classes of bytes for the automaton: continuation bytes in three ranges, leads by what may follow, and bytes that never occur."""
+    out = bytearray(256)
+    for low, high, kind in ((0x80, 0x90, 1), (0x90, 0xA0, 2), (0xA0, 0xC0, 3), (0xC0, 0xC2, 4), (0xC2, 0xE0, 5), (0xE0, 0xE1, 6), (0xE1, 0xF0, 7), (0xED, 0xEE, 8), (0xF0, 0xF1, 9), (0xF1, 0xF4, 10), (0xF4, 0xF5, 11), (0xF5, 0x100, 4)):
+        out[low:high] = bytes([kind]) * (high - low)
+    return bytes(out)
+
+
+_CLASS = _classes()
+#: States of the automaton: 0 between characters; 1, 2, 3: so many continuation bytes are missing; 4 to 7: the next one is bound, after
+#: E0, ED, F0 and F4. By state the states that continuation bytes of the three ranges lead to; all else breaks the character.
+_NEXT = {1: (0, 0, 0), 2: (1, 1, 1), 3: (2, 2, 2), 4: (None, None, 1), 5: (1, 1, None), 6: (None, 2, 2), 7: (2, None, None)}
+#: States that leads open.
+_OPENS = {5: 1, 6: 4, 7: 2, 8: 5, 9: 6, 10: 3, 11: 7}
+
+
 class Utf8Stream:
-    """Text of bytes that come in pieces. Between pieces it keeps the bytes of one unfinished character."""
+    """Text of bytes that come in pieces, by a state machine over byte classes. Between pieces it keeps its state and the bytes of one
+    unfinished character; what breaks a character becomes U+FFFD, once for each maximal part, as the library's decoder does.
+
+    Runs between characters that are broken or cut are decoded at once: the automaton walks the ends of a piece, where a character may be
+    open, and the middle is walked only if it is not valid as a whole.
+    """
 
     def __init__(self):
-        self.open = b""
+        self.state, self.open = 0, b""
+
+    def _walk(self, data: bytes, out: list[str]) -> None:
+        """Each byte through the automaton."""
+        state, held = self.state, bytearray(self.open)
+        for byte in data:
+            kind = _CLASS[byte]
+            if state:
+                then = _NEXT[state][kind - 1] if 1 <= kind <= 3 else None
+                if then is not None:
+                    held.append(byte)
+                    state = then
+                    if not state:
+                        out.append(held.decode())
+                        held.clear()
+                    continue
+                out.append("\ufffd")  # what was begun is broken; the byte starts anew
+                held.clear()
+                state = 0
+            if kind == 0:
+                out.append(chr(byte))
+            elif kind in _OPENS:
+                state = _OPENS[kind]
+                held.append(byte)
+            else:
+                out.append("\ufffd")
+        self.state, self.open = state, bytes(held)
 
     def feed(self, more: bytes) -> str:
-        data = self.open + more
-        cut = len(data) - self._unfinished(data)
-        self.open = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        out: list[str] = []
+        at = 0
+        while self.state and at < len(more):  # finish the open character
+            self._walk(more[at : at + 1], out)
+            at += 1
+        end = len(more)
+        while end > at and len(more) - end < 4 and 1 <= _CLASS[more[end - 1]] <= 3:  # back to the last lead
+            end -= 1
+        if end > at and _CLASS[more[end - 1]] in _OPENS:
+            end -= 1
+        else:
+            end = len(more)
+        middle = more[at:end]
+        try:
+            out.append(middle.decode())
+        except UnicodeDecodeError:
+            self._walk(middle, out)
+        self._walk(more[end:], out)
+        return "".join(out)
 
     def finish(self) -> str:
-        rest, self.open = self.open, b""
-        return rest.decode("utf-8", "replace")
-
-    @staticmethod
-    def _unfinished(data: bytes) -> int:
-        """Length of the character's beginning that ends the data, 0 if its last character is whole (or broken)."""
-        for back in range(1, min(3, len(data)) + 1):
-            lead = data[-back]
-            if lead < 0x80:
-                return 0
-            if lead >= 0xC0:  # a lead byte: it wants one, two or three more
-                wants = 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                return back if back < wants else 0
-        return 0
+        rest, self.state, self.open = "\ufffd" if self.state else "", 0, b""
+        return rest
 
 
 _LOADED: dict[tuple[str, str], Transducer] = {}

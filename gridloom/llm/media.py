@@ -5,7 +5,8 @@ coefficients in scan order of the three blocks of a 4:4:4 MCU (192 bytes), all q
 restart interval, so intervals are independent: the encoder packs the bits of many of them at once, and the decoder steps
 through all intervals of a batch in lockstep, one Huffman symbol of each at a time. The reader parses the markers (SOI,
 COM, DQT, SOF0, DHT, DRI, SOS, RSTn, EOI) of the file itself, and takes other restart intervals, component tables and
-run lengths too; progressive, arithmetic and subsampled files raise ValueError.
+run lengths, subsampled components (4:2:0 and the like) and grey files too; progressive, arithmetic and 12-bit files raise
+ValueError.
 
 A thumbnail is the luminance of the DC coefficients alone, one sample a block; its difference hash is kept.
 
@@ -207,11 +208,19 @@ class Frame:
     n_payload: int | None
     quantisers: dict[int, np.ndarray]
     components: list[tuple[int, int, int]]  # quantiser, DC table, AC table
+    sampling: list[tuple[int, int]]  # blocks across and down of each component in an MCU
     tables: dict[tuple[int, int], tuple[bytes, bytes]]
     restart: int
     scan: int
 
 
+    @property
+    def mcus(self) -> tuple[int, int]:
+        """MCUs down and across."""
+        across, down = max(a for a, _ in self.sampling), max(d for _, d in self.sampling)
+        return -(-self.height // (8 * down)), -(-self.width // (8 * across))
+
+
 def parse(data: bytes) -> Frame:
     """The markers up to the scan."""
     if data[:2] != b"\xff\xd8":
@@ -239,14 +248,16 @@ def parse(data: bytes) -> Frame:
         elif marker == 0xC0:
             precision, height, width, n_parts = struct.unpack(">BHHB", body[:6])
             parts = [tuple(body[6 + 3 * i : 9 + 3 * i]) for i in range(n_parts)]
-            if precision != 8 or any(p[1] != 0x11 for p in parts):
-                raise ValueError("only 8-bit frames without subsampling")
-            frame = (width, height, {p[0]: p[2] for p in parts})
+            if precision != 8 or any(not 1 <= p[1] >> 4 <= 4 or not 1 <= p[1] & 15 <= 4 for p in parts):
+                raise ValueError("only 8-bit frames")
+            frame = (width, height, {p[0]: (p[2], (p[1] >> 4, p[1] & 15)) for p in parts})
         elif marker == 0xDA:
             if frame is None or body[0] != len(frame[2]):
                 raise ValueError("only one interleaved scan")
-            own = [(frame[2][body[1 + 2 * i]], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
-            return Frame(frame[0], frame[1], payload, quantisers, own, tables, restart, at)
+            names = [body[1 + 2 * i] for i in range(body[0])]
+            own = [(frame[2][c][0], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i, c in enumerate(names)]
+            sampling = [frame[2][c][1] for c in names] if len(names) > 1 else [(1, 1)]  # a component alone is not interleaved
+            return Frame(frame[0], frame[1], payload, quantisers, own, sampling, tables, restart, at)
         elif 0xC1 <= marker <= 0xCF:
             raise ValueError("not a baseline frame")
 
@@ -330,14 +341,16 @@ def decode(files: list[bytes]) -> list[Decoded]:
     frames = [parse(f) for f in files]
     groups: dict[tuple, list[int]] = {}
     for i, f in enumerate(frames):
-        groups.setdefault((tuple(c[1:] for c in f.components), tuple(sorted(f.tables.items()))), []).append(i)
+        groups.setdefault((tuple(c[1:] for c in f.components), tuple(f.sampling), tuple(sorted(f.tables.items()))), []).append(i)
     for own in groups.values():
-        kinds = [c[1:] for c in frames[own[0]].components]
+        first = frames[own[0]]
+        # The blocks of an MCU in order, by their components' tables.
+        kinds = [c[1:] for c, (a, d) in zip(first.components, first.sampling, strict=True) for _ in range(a * d)]
         lanes = []  # file, its intervals' starts and ends, its MCUs
         for i in own:
             raw = np.frombuffer(files[i], np.uint8)[frames[i].scan :]
             mark = np.flatnonzero((raw[:-1] == 255) & (raw[1:] != 0))
-            lanes.append((i, raw, np.append(0, mark[:-1] + 2), mark, -(-frames[i].height // 8) * -(-frames[i].width // 8)))
+            lanes.append((i, raw, np.append(0, mark[:-1] + 2), mark, frames[i].mcus[0] * frames[i].mcus[1]))
         queue, waiting = [], 0
         for lane in lanes:
             queue.append(lane)
@@ -350,8 +363,21 @@ def decode(files: list[bytes]) -> list[Decoded]:
     return out
 
 
+def _undo(mine: np.ndarray, blocks: np.ndarray, sizes: list[int], parts: int) -> None:
+    """DC coefficients from their differences: a component's blocks follow each other in the MCUs of an interval."""
+    at = 0
+    for size in sizes:
+        places = (np.arange(0, len(mine), parts)[:, None] + np.arange(at, at + size)).ravel()
+        lane = np.repeat(np.arange(len(blocks)), blocks // parts * size)
+        total = np.cumsum(mine[places, 0].astype(np.int64))
+        first = np.searchsorted(lane, np.arange(len(blocks)))
+        mine[places, 0] = total - np.append(0, total)[first][lane]
+        at += size
+
+
 def _decode_group(lanes: list, frames: list[Frame], kinds: list, out: list) -> None:
     parts = len(kinds)
+    sizes_of = [a * d for a, d in frames[lanes[0][0]].sampling]
     pieces, offset = [], 0
     for i, raw, starts, ends, mcus in lanes:
         step = frames[i].restart or mcus
@@ -384,12 +410,8 @@ def _decode_group(lanes: list, frames: list[Frame], kinds: list, out: list) -> N
             mine = coefficients[at : at + n]
             at += n
             step = p[4][0] // parts
-            if step > 1:  # DC is coded as the difference to the component's last one in the interval
-                lane = np.repeat(np.arange(len(p[4])), p[4] // parts)
-                for c in range(parts):
-                    total = np.cumsum(mine[c::parts, 0].astype(np.int64))
-                    first = np.searchsorted(lane, np.arange(len(p[4])))
-                    mine[c::parts, 0] = total - np.append(0, total)[first][lane]
+            if step > 1 or parts > len(sizes_of):  # DC is coded as the difference to the component's last one in the interval
+                _undo(mine, p[4], sizes_of, parts)
             done.setdefault(p[0], []).append(mine)
         batch, count = [], 0
 
@@ -404,9 +426,11 @@ def _decode_group(lanes: list, frames: list[Frame], kinds: list, out: list) -> N
         blocks = np.concatenate(done[i])
         n = f.n_payload if f.n_payload is not None else blocks.size
         payload = (blocks.reshape(-1)[:n] + 128).astype(np.uint8).tobytes()
-        down, across = -(-f.height // 8), -(-f.width // 8)
-        dc = blocks[::parts, 0].astype(np.float64) * f.quantisers[f.components[0][0]][0]
-        thumbnail = np.clip(dc.reshape(down, across) / 8 + 128, 0, 255)
+        (down, across), (a, d) = f.mcus, f.sampling[0]
+        dc = blocks[:, 0].reshape(-1, parts)[:, : a * d].astype(np.float64) * f.quantisers[f.components[0][0]][0]
+        # The luminance blocks of an MCU stand in rows; those beyond the image are dropped.
+        dc = dc.reshape(down, across, d, a).swapaxes(1, 2).reshape(down * d, across * a)[: -(-f.height // 8), : -(-f.width // 8)]
+        thumbnail = np.clip(dc / 8 + 128, 0, 255)
         out[i] = Decoded(f.width, f.height, payload, thumbnail)
 
 

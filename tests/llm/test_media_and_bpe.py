@@ -60,6 +60,46 @@ def test_jpeg_with_other_restart_intervals():
     assert media.decode([head + scan + b"\xff\xd9"])[0].payload == payload
 
 
+def java_image(spark, rgb):
+    jvm = spark._jvm
+    height, width = rgb.shape[:2]
+    image = jvm.java.awt.image.BufferedImage(width, height, 1 if rgb.ndim == 3 else 10)
+    raster = image.getRaster()
+    values = spark.sparkContext._gateway.new_array(jvm.int, rgb.size)
+    for i, v in enumerate(rgb.ravel().tolist()):
+        values[i] = v
+    raster.setPixels(0, 0, width, height, values)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+@pytest.mark.parametrize("shape", [(37, 50, 3), (16, 16, 3), (40, 23)])
+def test_files_of_another_encoder(spark, shape):
+    """The JVM writes 4:2:0 for colours and one component for grey; the thumbnail is the mean luminance of each block."""
+    rng = np.random.default_rng(1)
+    y, x = np.mgrid[0 : shape[0], 0 : shape[1]]
+    grey = (40 + 2 * x + 3 * y + rng.integers(0, 4, shape[:2])).clip(0, 255)
+    rgb = np.repeat(grey[:, :, None], 3, 2) if len(shape) == 3 else grey
+    raw = java_image(spark, rgb)
+    found = media.decode([raw, raw])[1]
+    assert (found.height, found.width) == shape[:2] and found.thumbnail.shape == (-(-shape[0] // 8), -(-shape[1] // 8))
+    sampling = media.parse(raw).sampling
+    assert sampling == ([(2, 2), (1, 1), (1, 1)] if len(shape) == 3 else [(1, 1)])
+    for i in range(shape[0] // 8):
+        for j in range(shape[1] // 8):
+            assert abs(found.thumbnail[i, j] - grey[8 * i : 8 * i + 8, 8 * j : 8 * j + 8].mean()) < 4
+
+
+def test_another_decoder_reads_our_files(spark):
+    payload = bytes(random.Random(5).choices(range(118, 138), k=192 * 70))
+    raw = media.encode([payload])[0]
+    jvm = spark._jvm
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(raw))
+    found = media.decode([raw])[0]
+    assert (image.getWidth(), image.getHeight()) == (found.width, found.height)
+
+
 def test_jpeg_rejects_what_it_cannot_read():
     with pytest.raises(ValueError):
         media.decode([b"GIF89a"])
@@ -108,11 +148,23 @@ def test_bounded_tables_give_the_same(coders, monkeypatch):
 
 
 def test_stream_decodes_any_cut():
-    raw = "aé中👍 z".encode() + b"\xff\xe4\xb8" + "é".encode()
-    for cut in range(1, 6):
-        stream = bpe.Utf8Stream()
-        text = "".join(stream.feed(raw[i : i + cut]) for i in range(0, len(raw), cut)) + stream.finish()
-        assert text == raw.decode("utf-8", "replace")
+    rng = random.Random(8)
+    texts = ["aé中👍 z".encode() + b"\xff\xe4\xb8" + "é".encode(), b"\xed\xa0\x80\xf4\x90\x80\x80\xc0\x80\xe0\x9f\xbf\xf0\x8f\xbf\xbf\xf8\x88"]
+    texts += [bytes(rng.choices([0x41, 0x80, 0xA0, 0xC3, 0xE0, 0xE4, 0xED, 0xF0, 0xF4, 0xBF, 0x9F, 0xFF], k=30)) for _ in range(200)]
+    for raw in texts:
+        for cut in (1, 2, 3, 5, 30):
+            stream = bpe.Utf8Stream()
+            text = "".join(stream.feed(raw[i : i + cut]) for i in range(0, len(raw), cut)) + stream.finish()
+            assert text == raw.decode("utf-8", "replace"), (raw, cut)
+
+
+def test_other_patterns(coders):
+    """A coarser split is used only where it is known to be made of whole matches."""
+    words = r"\w+|[^\w\s]+|\s+"
+    mine = bpe.Transducer(coders[0].ranks, words)
+    theirs = tiktoken.Encoding("words", pat_str=words, mergeable_ranks=coders[0].ranks, special_tokens={})
+    for text in ("it's  a-b\n\nc 12,5 é中", "  lead", "don't", "x\u00a0y"):
+        assert mine.ids(text) == theirs.encode_ordinary(text)
 
 
 def test_round_trip(spark, coders, edge_docs, no_docs):
