@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import Rolling, Words, arrow_map, saved, slices, utf8
 
 WINDOW, GRAM = 20, 6
-#: Suffixes of one prefix before it is lengthened, and suffixes in a bin of subtrees.
-CROWD, BIN = 2000, 8000
+#: Suffixes of one prefix before it is lengthened (some 10 MB as a subtree), and suffixes in a bin of subtrees.
+CROWD, BIN = 20_000, 8000
 #: Bytes of leaves that a task holds to merge equal ones.
 HELD = 16 << 20
 #: Rows of a side that may be broadcast.
@@ -313,7 +313,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int
         heavy = _few(crowded)
         trees.append(pending.join(heavy, "key", "left_anti"))
         length = window + 1 if 2 * length > window else 2 * length
-        longer = saved(_longer(pending.join(heavy, "key", "left_semi"), window, length))
+        # Equal leaves of different tasks meet before they are cut into windows.
+        longer = saved(_longer(pending.join(heavy, "key", "left_semi").repartition(F.xxhash64("words")), window, length))
         later.append(longer.where("words IS NULL"))
         pending = longer.where("words IS NOT NULL")
     grouped = trees[0]
