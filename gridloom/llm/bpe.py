@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import arrow_map, utf8
 
-#: Kept states of the transducer before it starts anew, and pieces of each of the two generations that are kept.
-STATES, PIECES = 250_000, 350_000
+#: Kept states of the transducer before it starts anew, pieces of each of the two generations that are kept, and pairs of tokens.
+STATES, PIECES, PAIRS = 250_000, 250_000, 100_000
+#: Bits of a token in a kept transition.
+_BITS = 24
 #: Positions that wait for their chains to meet before settled tokens are emitted.
 PENDING = 512
 #: Unicode white space, which is what the split pattern's \s stands for.
@@ -56,7 +58,7 @@ class Transducer:
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         # Chunks are known to be whole matches of the public pattern only.
         self.chunks = _CHUNK.findall if pattern == public_tokenizers.PATTERN else lambda text: [text]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces = _Pieces(self)
         self._clear()
 
@@ -64,7 +66,7 @@ class Transducer:
         # State 0: nothing read; -1 stands for the last token of the empty prefix.
         self.keys: list[tuple[bytes, tuple[int, ...]]] = [(b"", (-1,))]
         self.index = {self.keys[0]: 0}
-        self.moves: dict[int, tuple[int, int]] = {}  # by 256 * state + byte
+        self.moves: dict[int, int] = {}  # by 256 * state + byte: the next state and the last token there
 
     def merged(self, piece: bytes) -> list[int]:
         """Merge by rank, lowest first and leftmost among equals: the definition, used on pairs of tokens only."""
@@ -79,16 +81,17 @@ class Transducer:
 
     def compatible(self, before: int, token: int) -> bool:
         """Whether the token may follow ``before`` (-1: start the input)."""
-        known = self.pairs.get((before, token))
+        name = before << _BITS | token
+        known = self.pairs.get(name)
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             want = [token] if before < 0 else [before, token]
-            known = self.pairs[before, token] = self.merged(b"".join(self.bytes_of[t] for t in want)) == want
+            known = self.pairs[name] = self.merged(b"".join(self.bytes_of[t] for t in want)) == want
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, int]:
-        """The next state and the last token there; makes both where they are new."""
+    def _step(self, state: int, byte: int) -> int:
+        """The next state and the last token there, as one number; makes both where they are new."""
         suffix, last = self.keys[state]
         text = suffix + bytes([byte])
         for length in range(len(text), 0, -1):
@@ -108,7 +111,7 @@ class Transducer:
         if target is None:
             target = self.index[key] = len(self.keys)
             self.keys.append(key)
-        self.moves[256 * state + byte] = out = (target, token)
+        self.moves[256 * state + byte] = out = target << _BITS | token
         return out
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -120,7 +123,7 @@ class Transducer:
             self._clear()
         out: list[int] = []
         ends: list[int] = []  # the last token at each place since what was emitted
-        state, known, end = 0, self.moves.get, ends.append
+        state, known, end, token = 0, self.moves.get, ends.append, (1 << _BITS) - 1
         for at in range(0, len(piece), PENDING):
             if at:
                 self._emit(ends, out, len(self.keys[state][0]))
@@ -132,8 +135,8 @@ class Transducer:
                         self.keys.append(key)
             for byte in piece[at : at + PENDING]:
                 step = known(256 * state + byte) or self._step(state, byte)
-                state = step[0]
-                end(step[1])
+                state = step >> _BITS
+                end(step & token)
         return out + self._chain(ends, len(ends))
 
     def _chain(self, ends: list[int], at: int) -> list[int]:
@@ -185,7 +188,8 @@ class _Pieces(dict):
             out = array("I", [i for piece in split(chunk) for i in encode(piece.encode())]).tobytes()
         if len(chunk) <= 64:
             if len(self) >= PIECES:
-                self.older = dict(self)
+                self.older.clear()
+                self.older.update(self)
                 self.clear()
             self[chunk] = out
         return out
