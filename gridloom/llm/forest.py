@@ -359,7 +359,8 @@ def linked(docs: DataFrame, classes: DataFrame, shingle: int, threshold: float,
 
     def checked(found: DataFrame) -> DataFrame:
         """The cells of components (key, comp), verified."""
-        return saved(_verified(docs, saved(_cells(found.join(sizes, "key"), threshold, cell)), shingle, threshold))
+        # Saved first, so that large components are counted by partial sums and their joins can be split.
+        return saved(_verified(docs, saved(_cells(saved(found.join(sizes, "key")), threshold, cell)), shingle, threshold))
 
     found = saved(components(links.where(F.col("level") >= DEEPEST).select("a", "b"))).withColumnsRenamed({"node": "key", "root": "comp"})
     verified = checked(found)
