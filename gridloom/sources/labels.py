@@ -43,7 +43,9 @@ def parse(lines: DataFrame, strict: bool = True) -> DataFrame:
     """(stem, line_no, cls, cx, cy, w, h). Lines of fewer than five parts are left out; a bad number raises, or if not strict
     its line is left out."""
     rows = _parts(lines)
-    cols = [_cast(F.col("_p")[i], "int" if i == 0 else "double", strict).alias(c) for i, c in enumerate(("cls", "cx", "cy", "w", "h"))]
+    # Guarded, as a filter on a column may run before the one on the number of parts.
+    part = lambda i: F.when(F.size("_p") >= 5, F.get("_p", F.lit(i)))
+    cols = [_cast(part(i), "int" if i == 0 else "double", strict).alias(c) for i, c in enumerate(("cls", "cx", "cy", "w", "h"))]
     rows = rows.select("stem", "line_no", *cols)
     return rows if strict else rows.dropna(subset=["cls", "cx", "cy", "w", "h"])
 
