@@ -59,7 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written as Parquet in the shared folder and read again."""
+    """All stages over documents; each but the last is written as Parquet in the shared folder and read again.
+
+    A stage's folder is deleted once the next one is written. The last one is read by the result, which is lazy; it lies in the
+    application's own folder, which is deleted when the application ends.
+    """
     docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
