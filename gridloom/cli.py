@@ -62,11 +62,11 @@ def _boxes(spark: SparkSession, folder: str, scored: bool) -> DataFrame:
 def evaluate(spark: SparkSession, args: argparse.Namespace, config: Evaluate) -> None:
     names = labels.class_names(spark.read.text(args.classes, wholetext=True).select(F.col("value").alias("text")))
     truths, preds = _boxes(spark, args.truths, False), _boxes(spark, args.predictions, True)
-    flags = folds.greedy_match(preds, truths, ["img", "cls"], sorted({config.iou, *config.coco}))
-    rows = metrics.evaluate(preds, truths, flags, config.iou)
+    hits = folds.greedy_hits(preds, truths, ["img", "cls"], sorted({config.iou, *config.coco}))
+    rows = metrics.evaluate(preds, truths, hits, list(config.coco), config.iou)
     for line in report.lines(report.report_rows(rows, metrics.overall(rows), names)):
         print(line)
-    stats = metrics.per_image_stats(flags.where(F.col("thr") == config.iou), truths, ["img", "cls"])
+    stats = metrics.per_image_stats(folds.greedy_match(preds, truths, ["img", "cls"], [config.iou]), truths, ["img", "cls"])
     for line in report.image_lines(metrics.per_image_matrix(stats, [r.cls for r in names.select("cls").orderBy("cls").collect()])):  # classes are few
         print(line)
 

@@ -28,10 +28,17 @@ def _grouped(df: DataFrame, group: list[str], *order: Column) -> DataFrame:
 
 
 def greedy_match(preds: DataFrame, truths: DataFrame, group: list[str], thresholds: list[float]) -> DataFrame:
-    """preds (group, ord, score, box) x thresholds with ``tp``: in the order of falling score each takes the free truth of the
+    """preds (group, ord, score, box) x thresholds with ``tp``: 1 for those of ``greedy_hits``, else 0."""
+    hits = greedy_hits(preds, truths, group, thresholds).withColumn("tp", F.lit(1))
+    every = preds.withColumn("thr", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
+    return every.join(hits, ["thr", *group, "ord"], "left").na.fill(0, ["tp"])
+
+
+def greedy_hits(preds: DataFrame, truths: DataFrame, group: list[str], thresholds: list[float]) -> DataFrame:
+    """(thr, group, ord) of the predictions that take a truth: in the order of falling score each takes the free truth of the
     greatest IoU (lowest ord among equals) that reaches the threshold.
 
-    A truth below the threshold can't be taken, so only pairs that reach it enter the fold.
+    A truth below the threshold can't be taken, so only pairs that reach the least one are shuffled; the thresholds part after that.
     """
     if min(thresholds) <= 0:
         raise ValueError("thresholds must be above 0")
@@ -40,21 +47,22 @@ def greedy_match(preds: DataFrame, truths: DataFrame, group: list[str], threshol
     meets = (F.col("p.x1") < F.col("t.x2")) & (F.col("t.x1") < F.col("p.x2")) & (F.col("p.y1") < F.col("t.y2")) & (F.col("t.y1") < F.col("p.y2"))
     overlap = boxes.iou(tuple(F.col(f"p.{c}") for c in BOX), tuple(F.col(f"t.{c}") for c in BOX))
     pairs = p.join(t, [*same, meets]).select(*[F.col(f"p.{g}") for g in group], F.col("p.ord"), F.col("p.score"), F.col("t.ord").alias("truth"), overlap.alias("iou")).where(F.col("iou") >= min(thresholds))
-    pairs = pairs.withColumn("thr", F.explode(F.array(*[F.lit(float(x)) for x in thresholds]))).where(F.col("iou") >= F.col("thr"))
-    keys = ["thr", *group]
-    wants = pairs.groupBy(*keys, "ord", "score").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("k"), "truth"))), lambda c: c["truth"]).alias("wants"))
-    rows = wants.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("k"), "ord", "wants"))).alias("rows"))
+    # One row for each group: its pairs in the order in which predictions, and of each its truths, have their turn.
+    pair = F.struct((-F.col("score")).alias("k"), "ord", (-F.col("iou")).alias("i"), F.col("truth").cast("long").alias("truth"))
+    rows = pairs.groupBy(*group).agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
+    rows = rows.withColumn("thr", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
     nothing = F.array().cast("array<long>")
 
     def take(s: Column, r: Column) -> Column:
-        free = F.filter(r["wants"], lambda c: ~F.array_contains(s["taken"], c))
-        hit = F.size(free) > 0
-        return F.struct(F.when(hit, F.concat(s["taken"], F.slice(free, 1, 1))).otherwise(s["taken"]).alias("taken"), F.when(hit, F.concat(s["hits"], F.array(r["ord"]))).otherwise(s["hits"]).alias("hits"))
-
-    typed = F.transform("rows", lambda r: F.struct(r["ord"].cast("long").alias("ord"), F.transform(r["wants"], lambda c: c.cast("long")).alias("wants")))
-    hits = rows.select(*keys, F.explode(F.aggregate(typed, F.struct(nothing.alias("taken"), nothing.alias("hits")), take, lambda s: s["hits"])).alias("ord"), F.lit(1).alias("tp"))
-    every = preds.withColumn("thr", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
-    return every.join(hits, [*keys, "ord"], "left").na.fill(0, ["tp"])
+        # A prediction that has taken one is the last hit; its other pairs are passed.
+        hit = ~F.array_contains(s["taken"], r["truth"]) & ~F.coalesce(F.element_at(s["hits"], -1) == r["ord"], F.lit(False))
+        return F.when(hit, F.struct(F.concat(s["taken"], F.array(r["truth"])).alias("taken"), F.concat(s["hits"], F.array(r["ord"])).alias("hits"))).otherwise(s)
+
+    reach = F.filter("pairs", lambda r: -r["i"] >= F.col("thr"))
+    start = F.struct(nothing.alias("taken"), F.array(F.lit(-1).cast("long")).alias("hits"))
+    typed = F.transform(reach, lambda r: F.struct(r["ord"].cast("long").alias("ord"), r["truth"].alias("truth")))
+    found = F.aggregate(typed, start, take, lambda s: F.slice(s["hits"], F.lit(2), F.size(s["hits"])))
+    return rows.select("thr", *group, F.explode(found).alias("ord"))
 
 
 def suppress(df: DataFrame, group: list[str], order: list[Column], rejects: Callable[[Side, Side], Column]) -> DataFrame:

@@ -51,7 +51,8 @@ def ap50(spark, sf):
 
 def _report(spark, sf):
     truths = fx.truths(spark, sf)
-    return metrics.evaluate(fx.preds(spark, sf), truths, _flags(spark, sf, EVAL.coco), EVAL.iou)
+    hits = folds.greedy_hits(fx.preds(spark, sf), truths, GROUP, list(EVAL.coco))
+    return metrics.evaluate(fx.preds(spark, sf), truths, hits, list(EVAL.coco), EVAL.iou)
 
 
 def ap_coco(spark, sf):
