@@ -203,8 +203,8 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", mod
 def filtered(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 4, rest: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all their columns, that the classifier accepts. The texts are read twice rather than shuffled."""
     out, known = held_out("doc_id", modulus, rest), known_labels(labels, label_col)
-    # Only labelled documents' statistics are needed for the fit.
-    model = fit(document_statistics(docs.where(~out).join(known.select("doc_id"), "doc_id", "left_semi")), known, out)
+    # Only labelled documents' statistics are needed for the fit. They are saved, so that no task has two Python workers at once.
+    model = fit(saved(document_statistics(docs.where(~out).join(known.select("doc_id"), "doc_id", "left_semi"))), known, out)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.array([statistics(t) for t in utf8(batch.column("text"))])
