@@ -55,13 +55,13 @@ def greedy_hits(preds: DataFrame, truths: DataFrame, group: list[str], threshold
 
     def take(s: Column, r: Column) -> Column:
         # A prediction that has taken one is the last hit; its other pairs are passed.
-        hit = ~F.array_contains(s["taken"], r["truth"]) & ~F.coalesce(F.element_at(s["hits"], -1) == r["ord"], F.lit(False))
+        hit = ~F.array_contains(s["taken"], r["truth"]) & ~F.coalesce(F.try_element_at(s["hits"], F.lit(-1)) == r["ord"], F.lit(False))
         return F.when(hit, F.struct(F.concat(s["taken"], F.array(r["truth"])).alias("taken"), F.concat(s["hits"], F.array(r["ord"])).alias("hits"))).otherwise(s)
 
     reach = F.filter("pairs", lambda r: -r["i"] >= F.col("thr"))
-    start = F.struct(nothing.alias("taken"), F.array(F.lit(-1).cast("long")).alias("hits"))
+    start = F.struct(nothing.alias("taken"), nothing.alias("hits"))
     typed = F.transform(reach, lambda r: F.struct(r["ord"].cast("long").alias("ord"), r["truth"].alias("truth")))
-    found = F.aggregate(typed, start, take, lambda s: F.slice(s["hits"], F.lit(2), F.size(s["hits"])))
+    found = F.aggregate(typed, start, take, lambda s: s["hits"])
     return rows.select("thr", *group, F.explode(found).alias("ord"))
 
 
