@@ -8,7 +8,7 @@ from gridloom import pipelines
 from gridloom.config import Evaluate, Extract, FuseA
 from gridloom.functions.vectors import hamming as hamming_distance
 from gridloom.functions.vectors import sign_bits
-from gridloom.operators import aggregates, cluster, folds, joins, metrics
+from gridloom.operators import aggregates, cluster, folds, joins, metrics, split
 from gridloom.plans import fixtures as fx
 
 GROUP = ["img", "cls"]
@@ -204,6 +204,11 @@ def summary_counts(spark, sf):
     return rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("score_sum"))
 
 
+def stratified_split(spark, sf):
+    """150 images with 15 of each class at least."""
+    return split.stratified(fx.truths(spark, sf))
+
+
 def avg_sim(spark, sf):
     return fx.dets(spark, sf).groupBy("img").agg(F.round(aggregates.mean_or_zero(F.when(F.col("score") >= 0.9, F.col("sim"))), 9).alias("avg_sim"))
 
@@ -388,6 +393,6 @@ ORACLES |= {
 }
 NAMES = (
     "greedy_match global_flags per_image_stats prf1 pr_curve ap50 ap_coco map_overall per_image_pivot iou_pairs iou_containment best_containment nms suppress_b containment_a wbf "
-    "phash_dedup hamming fps dbscan medoids auto_eps cluster_select cap_shortcut extract fuse_a fuse_b combined_gate result_gate wbf_all p90_area median_area small_classes summary_counts avg_sim"
+    "phash_dedup hamming fps dbscan medoids auto_eps cluster_select cap_shortcut extract fuse_a fuse_b combined_gate result_gate wbf_all p90_area median_area small_classes summary_counts stratified_split avg_sim"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

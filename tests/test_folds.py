@@ -198,3 +198,17 @@ def test_large_classes_have_the_same_results(spark):
         assert one == two and one
     one, two = same(lambda m: cluster.auto_eps(df, 4, 85.0, limit=m), lambda r: (r.cls, round(r.eps, 12)))
     assert one == two
+
+
+def test_stratified_split(spark):
+    from gridloom.operators.split import stratified
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i), int(c)) for i in range(80) for c in range(5) if rng.random() < (0.04, 0.1, 0.5, 0.9, 0.9)[c]] + [(0, 3), (0, 3)]
+    df = spark.createDataFrame(rows, "img long, cls int").repartition(3)
+    got = [r.img for r in stratified(df, 6, 30, seed=1).orderBy("pos").collect()]
+    assert got == [r.img for r in stratified(df.repartition(5), 6, 30, seed=1).orderBy("pos").collect()] != [r.img for r in stratified(df, 6, 30, seed=2).orderBy("pos").collect()]
+    assert len(set(got)) == len(got) == 30
+    own = {c: {i for i, k in rows if k == c} for c in range(5)}
+    assert all(len(own[c] & set(got)) >= min(6, len(own[c])) for c in own)
+    assert stratified(df, 6, 10**6).count() == len({i for i, _ in rows}) and stratified(df.limit(0)).count() == 0
