@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import arrow_map, utf8
 
 #: Kept states of the transducer before it starts anew, pieces of each of the two generations that are kept, and pairs of tokens.
-STATES, PIECES, PAIRS = 250_000, 250_000, 100_000
+STATES, PIECES, PAIRS = 250_000, 150_000, 100_000
 #: Bits of a token in a kept transition.
 _BITS = 24
 #: Positions that wait for their chains to meet before settled tokens are emitted.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -78,6 +79,19 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system. Workers outlive their tasks, and their allocators keep freed memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # other C libraries have none
+    _TRIM = None
+
+
 def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow over slices of a bounded number of bytes; each(batch) gives a batch of ``schema`` or None."""
     bounded_batches(df.sparkSession)
@@ -87,6 +101,7 @@ def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | N
             for part in slices(batch):
                 if (out := each(part)) is not None:
                     yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Rolling, Rounds, Words, arrow_map, saved, slices, utf8
+from gridloom.llm.common import Rolling, Rounds, Words, arrow_map, give_back, saved, slices, utf8
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEEPEST, RECALL = 32, 8, 0.9999
@@ -198,6 +198,7 @@ def forest_links(labels: DataFrame, shortest: int) -> DataFrame:
                 last = (tree[-1], label[-1], key[-1])
         if last is not None:
             yield _border([last[0]], [last[1]], [last[2]])
+        give_back()
 
     out = saved(dealt.mapInArrow(run, "a binary, b binary, level int, tree int, label long"))
     # Partitions' first and last rows, two for each partition whatever the input is: neighbours among them are linked.
@@ -306,6 +307,7 @@ def _cell(table: pa.Table, threshold: float, shingle: int) -> pa.Table:
         out_multi += [multi[i] for i in own]
         total += seen
         at = end
+    give_back()
     first = [total.tolist()] + [None] * (len(out_key) - 1)
     cols = [pa.array(out_key, pa.binary()), pa.array(out_links, pa.int64()), pa.array(out_root, pa.binary()), pa.array(out_multi, pa.bool_()), pa.array(first, pa.list_(pa.int64()))]
     return pa.table(cols, ["key", "links", "root", "multi", "seen"])
@@ -430,6 +432,7 @@ def _verified(docs: DataFrame, candidates: DataFrame, shingle: int, threshold: f
                     own = [c for _, c in take[at : at + 64]]
                     cols = [pa.array([c["cell"] for c in own], pa.string()), pa.array([c["side"] for c in own], pa.int32()), *(some.column(n) for n in ("comp", "key", "multi")), some.column("text").cast(pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, ["cell", "side", "comp", "key", "multi", "text"])
+        give_back()
 
     sent = joined.select("text", "key", "comp", "cells", "multi").mapInArrow(run, "cell string, side int, comp binary, key binary, multi boolean, text binary")
     return sent.groupBy("cell").applyInArrow(lambda t: _cell(t, threshold, shingle), _CELL)
