@@ -28,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = context.getConf().get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local["):
+        if folder is None and context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridloom-"))
     folder = context._jsc.sc().getCheckpointDir().get()  # Spark's own for this application, inside the one that is set
