@@ -221,8 +221,7 @@ def _span_leaves(rows: DataFrame, window: int) -> DataFrame:
                         yield leaves.flush()
         yield leaves.flush()
 
-    # doc_id is not used here; with it the exchange of rows is the one that the last join has.
-    return rows.select("doc_id", "doc", "fp", "text", "spans").mapInArrow(run, _LEAF)
+    return rows.select("doc", "fp", "text", "spans").mapInArrow(run, _LEAF)
 
 
 def _longer(rows: DataFrame, window: int, length: int) -> DataFrame:
@@ -301,12 +300,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int
     keys = ["anchor", "doc", "fp", "place"]
     dealt = _spanned(rows, window, gram).repartitionByRange(*keys).sortWithinPartitions(*keys)
     candidates = _several(dealt).groupBy("doc", "fp").agg(F.collect_list(F.struct("place", "anchor")).alias("spans"))
-    # The exchange of rows by (doc, fp) is made once and used by this join and the last.
-    leaves = saved(_span_leaves(rows.join(candidates, ["doc", "fp"]), window))
+    # Leaves are all that later steps read of this: the exchanges of spans, candidates and texts go before the next ones come.
+    leaves = saved(_span_leaves(rows.join(candidates, ["doc", "fp"]), window), clean=True)
     later, pending, trees, length = [leaves.where("words IS NULL")], leaves.where("words IS NOT NULL"), [], gram
     number = F.sum(F.shiftright("place", 10).bitwiseAND(F.lit(1023)))
     while True:
-        crowded = saved(pending.groupBy("key").agg(number.alias("n")).where(F.col("n") > crowd).select("key"))
+        crowded = saved(pending.groupBy("key").agg(number.alias("n")).where(F.col("n") > crowd).select("key"), clean=True)
         if length > window or not crowded.take(1):
             trees.append(pending)
             break
@@ -314,7 +313,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int
         trees.append(pending.join(heavy, "key", "left_anti"))
         length = window + 1 if 2 * length > window else 2 * length
         # Equal leaves of different tasks meet before they are cut into windows.
-        longer = saved(_longer(pending.join(heavy, "key", "left_semi").repartition(F.xxhash64("words")), window, length))
+        longer = saved(_longer(pending.join(heavy, "key", "left_semi").repartition(F.xxhash64("words")), window, length), clean=True)
         later.append(longer.where("words IS NULL"))
         pending = longer.where("words IS NOT NULL")
     grouped = trees[0]

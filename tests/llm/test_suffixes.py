@@ -1,11 +1,12 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
-from gridloom.llm import suffixes
+from gridloom.llm import common, suffixes
 from gridloom.llm.common import Words
 from tests.llm.conftest import passage
 
@@ -126,3 +127,23 @@ def test_edges(spark, edge_docs, no_docs):
     assert got[4] == got[5] == got[6] == [(0, 0)]
     assert got[13] == [(62, 60)] and got[11] == [(500, 499)]
     assert suffixes.without_repeats(no_docs).count() == 0
+
+
+def test_exchanges_go_with_their_step(spark):
+    """Shuffle files of a checkpoint that is made clean are deleted as it ends, and the setting is put back."""
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS k").repartition(5, "k")
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def stored():
+        files = manager.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before, setting = stored(), spark.conf.get(common._CLEAN)
+    made = common.saved(rows, clean=True)
+    for _ in range(50):
+        if not (new := stored() - before):
+            break
+        time.sleep(0.1)
+    assert not new and made.count() == 1000 and spark.conf.get(common._CLEAN) == setting
+    common.saved(rows.select("*"))
+    assert stored() - before  # else there is nothing to delete
