@@ -278,6 +278,8 @@ def cluster_select(df: DataFrame, cap: int, eps: float | None, least: int, perce
     def large(rows: DataFrame) -> DataFrame:
         few = _sizes(rows).where(F.col("_n") <= cap).select("cls")
         every = rows.join(few, "cls", "left_semi").select("cls", (F.row_number().over(Window.partitionBy("cls").orderBy("id")) - 1).alias("pos"), "id")
+        if not _sizes(rows).where(F.col("_n") > cap).take(1):
+            return every  # nothing to cluster, and no eps to tune
         rows = rows.join(few, "cls", "left_anti")
         labels = _cut(_dbscan_large(rows, eps if eps is not None else _eps_large(rows, least, percentile, min(BLOCK, limit)), least, min(BLOCK, limit)))
         order = Window.partitionBy("cls").orderBy(F.col("size").desc(), "label")  # a row for each cluster

@@ -186,6 +186,14 @@ def clustered(spark, n=140):
     return spark.createDataFrame(rows, "cls int, id long, emb array<double>").repartition(3)
 
 
+def test_large_classes_below_the_cap(spark):
+    """Classes above the limit that the cap does not touch stay whole, in order, with an eps that is to be tuned."""
+    df = clustered(spark)
+    rows = sorted((r.cls, r.id) for r in df.collect())
+    got = [(r.cls, r.pos, r.id) for r in cluster.cluster_select(df, 100, None, 4, limit=30).orderBy("cls", "pos").collect()]
+    assert [(c, i) for c, _, i in got] == rows and [p for c, p, _ in got] == [sum(d == c for d, _ in rows[:k]) for k, (c, _) in enumerate(rows)]
+
+
 def test_large_classes_have_the_same_results(spark):
     """Classes above the limit go through blocks and rounds, and come out as in one task."""
     df = clustered(spark)
